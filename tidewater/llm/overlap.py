@@ -111,11 +111,13 @@ def segment_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     e = left.select(F.col("cls").alias("cls_e"), F.size("words").alias("le"), F.inline(segs)).withColumnRenamed("pos", "pe")
     # a segment of the longest text that fits starts at its k at most, and moves by this text's k at most
     last = _edits(F.floor(F.size("words") * den / num), num, den, rn, rd) + k
-    runs = [
-        F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.least(last, F.size("words") - n)), lambda i, n=n: F.struct(i.alias("pos"), cut(i, F.lit(n)).alias("sig")))).otherwise(F.array().cast("array<struct<pos:int,sig:bigint>>"))
-        for n in range(1, _HEAD + 1)
-    ]
-    t = right.select(F.col("cls").alias("cls_t"), F.size("words").alias("lt"), F.inline(F.concat(*runs))).withColumnRenamed("pos", "pt")
+    none = F.array().cast("array<struct<pos:int,sig:bigint>>")
+
+    def runs(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.least(last, F.size("words") - n)), lambda i: F.struct(i.alias("pos"), cut(i, F.lit(n)).alias("sig")))
+        return F.when(F.size("words") >= n, every).otherwise(none)
+
+    t = right.select(F.col("cls").alias("cls_t"), F.size("words").alias("lt"), F.inline(F.concat(*map(runs, range(1, _HEAD + 1))))).withColumnRenamed("pos", "pt")
     shift = F.col("pt") - F.col("pe")
     fits = (F.abs(shift) + F.abs(F.col("lt") - F.col("le") - shift)) * rd <= rn * (F.col("lt") + F.col("le"))
     compatible = F.least("lt", "le") * den >= F.greatest("lt", "le") * num
