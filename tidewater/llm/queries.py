@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.llm.forest import all_pairs, groups, latest_texts, near_duplicates
 from tidewater.llm.overlap import cross_split_pairs, overlap_report
 from tidewater.llm.topn import top_documents
 from tidewater.session import table
@@ -21,7 +22,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return top_documents(table(spark, d, "search_results"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found)}
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates(latest_texts(table(spark, d, "document_snapshots")), threshold=0.5, size=3, least=20)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return all_pairs(*_near(spark, d))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    return groups(*_near(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p7_found, p7_groups)}
 
 _KEY = r"regexp_replace(doc_id, '^\s+|\s+$', '', 'g')"
 
@@ -51,4 +64,16 @@ t AS (SELECT *, row_number() OVER (PARTITION BY run_name, query_id ORDER BY scor
 SELECT run_name, query_id, doc_id, top_no FROM t WHERE top_no <= 10
 """
 
-SQL = {"p2_found": _P2, "p2_report": _P2_REPORT, "p5_found": _P5}
+_P7 = rf"""
+WITH v AS (
+  SELECT {_KEY} AS k, arg_max(concat_ws(' ', title, abstract, full_text), (snapshot_id, delivered_at)) AS text
+  FROM document_snapshots WHERE {_KEY} <> '' GROUP BY 1),
+w AS (SELECT k, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM v),
+s AS (SELECT k, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 20),
+t AS (SELECT s.k, g, n FROM s JOIN n USING (k)),
+p AS (SELECT a.k AS doc_a, b.k AS doc_b, count(*) AS n_both, any_value(a.n + b.n) AS n_sum FROM t AS a JOIN t AS b ON a.g = b.g AND a.k < b.k GROUP BY 1, 2)
+SELECT doc_a, doc_b FROM p WHERE 3 * n_both >= n_sum
+"""
+
+SQL = {"p7_found": _P7, "p2_found": _P2, "p2_report": _P2_REPORT, "p5_found": _P5}
