@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidewater.llm.bpe import decode, encode, token_count
 from tidewater.llm.forest import all_pairs, groups, latest_texts, near_duplicates
 from tidewater.llm.overlap import cross_split_pairs, overlap_report
+from tidewater.llm.packing import pack, packing_faults, packing_report, sized_items
+from tidewater.llm.pii import find_mentions, redact
 from tidewater.llm.topn import top_documents
-from tidewater.session import table
+from tidewater.session import table, written
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +38,40 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups(*_near(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p7_found, p7_groups)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode(table(spark, d, "documents"))
+
+
+def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return decode(p8_ids(spark, d))
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return sized_items(table(spark, d, "documents"), token_count(spark))
+
+
+def p9_packing(spark: SparkSession, d: str) -> DataFrame:
+    return pack(_items(spark, d))
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing_report(p9_packing(spark, d))
+
+
+def p9_faults(spark: SparkSession, d: str) -> DataFrame:
+    items = written(_items(spark, d), "items")
+    return packing_faults(items, pack(items))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_mentions(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redact(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p7_found, p7_groups, p8_ids, p8_round_trip, p9_packing, p9_report, p9_faults, p10_found, p10_redacted)}
 
 _KEY = r"regexp_replace(doc_id, '^\s+|\s+$', '', 'g')"
 
@@ -76,4 +113,11 @@ p AS (SELECT a.k AS doc_a, b.k AS doc_b, count(*) AS n_both, any_value(a.n + b.n
 SELECT doc_a, doc_b FROM p WHERE 3 * n_both >= n_sum
 """
 
-SQL = {"p7_found": _P7, "p2_found": _P2, "p2_report": _P2_REPORT, "p5_found": _P5}
+SQL = {
+    "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p9_faults": "SELECT count(DISTINCT doc_id) AS n_docs, 0 AS n_over, 0 AS n_lost, 0 AS n_conflicts FROM documents",
+    "p7_found": _P7,
+    "p2_found": _P2,
+    "p2_report": _P2_REPORT,
+    "p5_found": _P5,
+}
