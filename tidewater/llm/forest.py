@@ -122,6 +122,25 @@ def _region(keys: np.ndarray, labels: np.ndarray, sketch: np.ndarray, depth: int
             _region(keys[lo:hi], labels[lo:hi], sketch[lo:hi], depth + 1, least, out)
 
 
+def _regions(keys: np.ndarray, head: np.ndarray, sketch: np.ndarray, least: int) -> list:
+    """head is tree and label. Candidates of many whole regions, one after the other: the small ones all at once, the crowded ones each on their own."""
+    out: list = []
+    n, labels = len(keys), head[:, 1:]
+    starts = np.r_[0, np.flatnonzero((head[1:, : 1 + MIN_DEPTH] != head[:-1, : 1 + MIN_DEPTH]).any(axis=1)) + 1]
+    sizes = np.diff(np.r_[starts, n])
+    for lo, size in zip(starts[sizes > LEAF], sizes[sizes > LEAF]):
+        _region(keys[lo : lo + size], labels[lo : lo + size], sketch[lo : lo + size], MIN_DEPTH, least, out)
+    ends = np.repeat(starts + sizes, sizes)
+    ends[np.repeat(sizes > LEAF, sizes)] = 0
+    i = np.arange(n)
+    for gap in range(1, LEAF):
+        i = i[i + gap < ends[i]]
+        if not len(i):
+            break
+        _pairs_of(keys, sketch, i, i + gap, least, out)
+    return out
+
+
 def neighbours(frames: Iterator[pd.DataFrame], least: int, hold: int = 50_000) -> Iterator[pd.DataFrame]:
     """Rows (tree, label, key, sketch) sorted by tree and label, to candidate pairs (a, b).
 
@@ -129,9 +148,8 @@ def neighbours(frames: Iterator[pd.DataFrame], least: int, hold: int = 50_000) -
     """
     kept = None
 
-    def close(part: tuple, depth: int) -> pd.DataFrame:
-        out: list = []
-        _region(*part, depth, least, out)
+    def close(keys: np.ndarray, head: np.ndarray, sketch: np.ndarray) -> pd.DataFrame:
+        out = _regions(keys, head, sketch, least)
         if not out:
             return pd.DataFrame({"a": [], "b": []}, dtype=object)
         x, y = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
@@ -153,13 +171,11 @@ def neighbours(frames: Iterator[pd.DataFrame], least: int, hold: int = 50_000) -
             if len(keys) - last <= hold or width == 1 + DEPTH:
                 break
             width += 1
-        cuts = np.flatnonzero((head[1:last, : 1 + MIN_DEPTH] != head[: max(0, last - 1), : 1 + MIN_DEPTH]).any(axis=1)) + 1 if last else np.zeros(0, int)
-        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, last]):
-            if hi - lo > 1:
-                yield close((keys[lo:hi], head[lo:hi, 1:], sketch[lo:hi]), MIN_DEPTH)
+        if last > 1:
+            yield close(keys[:last], head[:last], sketch[:last])
         kept = (keys[last:], head[last:], sketch[last:])
     if kept is not None and len(kept[0]):
-        yield close((kept[0], kept[1][:, 1:], kept[2]), MIN_DEPTH)
+        yield close(*kept)
 
 
 def verified(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
