@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.bpe import decode, encode, token_count
 from tidewater.llm.forest import all_pairs, groups, latest_texts, near_duplicates
+from tidewater.llm.ocr import Repair
 from tidewater.llm.overlap import cross_split_pairs, overlap_report
 from tidewater.llm.packing import pack, packing_faults, packing_report, sized_items
 from tidewater.llm.pii import find_mentions, redact
@@ -22,6 +23,14 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap_report(table(spark, d, "queries"), p2_found(spark, d))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return Repair(table(spark, d, "document_snapshots")).lines()
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return Repair(table(spark, d, "document_snapshots")).texts()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return top_documents(table(spark, d, "search_results"))
 
@@ -71,7 +80,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p7_found, p7_groups, p8_ids, p8_round_trip, p9_packing, p9_report, p9_faults, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_repaired, p5_found, p7_found, p7_groups, p8_ids, p8_round_trip, p9_packing, p9_report, p9_faults, p10_found, p10_redacted)}
 
 _KEY = r"regexp_replace(doc_id, '^\s+|\s+$', '', 'g')"
 
