@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.scoring import bm25_idf, bm25_term
 from tidewater.functions.text import bm25_tokens
-from tidewater.session import bounded
+from tidewater.session import bounded, written
 
 K1, B = 1.5, 0.75
 
@@ -47,13 +47,18 @@ def query_terms(topics: DataFrame) -> DataFrame:
 
 def bm25_scores(tokens: DataFrame, weighted: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score > 0) of weighted query terms (query_id, term, weight)."""
+    weighted = written(weighted, "weights")
     asked = weighted.select("term").distinct()
-    post = postings(tokens.select("doc_id", "length", F.explode("tokens").alias("term")).join(bounded(asked), "term", "left_semi").groupBy("doc_id", "length").agg(F.collect_list("term").alias("tokens")))
+    n = asked.count()
+    # Where the asked terms are few, postings stay where their documents are: a frequent term is no hot key.
+    post = postings(tokens.select("doc_id", "length", F.explode("tokens").alias("term")).join(bounded(asked, n), "term", "left_semi").groupBy("doc_id", "length").agg(F.collect_list("term").alias("tokens")))
     df = document_frequencies(post)
     one = collection_stats(tokens)
-    score = F.col("weight") * bm25_idf(F.col("n_docs"), F.col("df")) * bm25_term(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)
-    joined = post.join(weighted.join(df, "term"), "term").crossJoin(F.broadcast(one))  # a single row
-    return joined.groupBy("query_id", "doc_id").agg(F.sum(score).alias("score")).where("score > 0")
+    # what a posting adds to any query is worked out once, before postings meet queries
+    impact = bm25_idf(F.col("n_docs"), F.col("df")) * bm25_term(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)
+    post = post.join(bounded(df, n), "term").crossJoin(F.broadcast(one)).select("term", "doc_id", impact.alias("impact"))  # a single row
+    met = post.join(bounded(weighted), "term")
+    return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("score")).where("score > 0")
 
 
 def bm25(docs: DataFrame, topics: DataFrame, k: int = 1000, k1: float = K1, b: float = B) -> DataFrame:
@@ -74,14 +79,14 @@ def relevance_model(tokens: DataFrame, feedback: DataFrame, terms: int = 10) ->
 def expanded_terms(tokens: DataFrame, topics: DataFrame, docs: int = 3, terms: int = 10, original: float = 0.6) -> DataFrame:
     """(query_id, term, weight): the query's own terms, and those of its best documents; `original` is the weight of the query."""
     own = query_terms(topics)
-    feedback = top_k(bm25_scores(tokens, own), docs)
+    feedback = written(top_k(bm25_scores(tokens, own), docs).drop("rank"), "feedback")
     own = own.select("query_id", "term", (F.lit(original) * F.col("weight") / F.sum("weight").over(Window.partitionBy("query_id"))).alias("weight"))
     new = relevance_model(tokens, feedback, terms).select("query_id", "term", ((1 - original) * F.col("p")).alias("weight"))
     return own.unionByName(new).groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))
 
 
 def rm3(docs: DataFrame, topics: DataFrame, k: int = 1000, **params) -> DataFrame:
-    tokens = tokenized(docs)
+    tokens = written(tokenized(docs), "tokens")
     return top_k(bm25_scores(tokens, expanded_terms(tokens, topics, **params)), k)
 
 

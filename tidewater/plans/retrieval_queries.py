@@ -16,7 +16,7 @@ from tidewater.operators.evaluation import mean_metrics, per_query
 from tidewater.operators.overlay import Settings, overlay, query_profiles
 from tidewater.operators.snapshots import numbered, snapshot_names
 from tidewater.sources import testdata as td
-from tidewater.session import table
+from tidewater.session import table, written
 
 #: 2025-11-30T23:59:59Z, 2025-05-31T23:59:59Z, 2025-03-31T23:59:59Z, 2025-02-28T23:59:59Z, 2025-03-01T00:00:00Z
 AT, WINDOW_END, FROZEN, BASELINE, WINDOW_START = 1764547199, 1748735999, 1743465599, 1740787199, 1740787200
@@ -165,14 +165,14 @@ def overlap_rerank(s, d):
 @query
 def rerank_head_tail(s, d):
     docs, t = td.viewed(s, d), td.topics(s, d)
-    base = lexical.bm25(docs, t, 50)
+    base = written(lexical.bm25(docs, t, 50), "run")
     return fusion.splice(base, fusion.rerank(base.where("rank <= 20"), t, docs, 20), 50).select("query_id", "doc_id", *r6("score"), "part", "rank")
 
 
 @query
 def rerank_sweep(s, d):
     docs, t = td.viewed(s, d), td.topics(s, d)
-    base, out = lexical.bm25(docs, t, 50), None
+    base, out = written(lexical.bm25(docs, t, 50), "run"), None
     for depth in (10, 20, 50):
         one = fusion.rerank(base.where(F.col("rank") <= depth), t, docs, 10).withColumn("candidate_k", F.lit(depth))
         out = one if out is None else out.unionByName(one)
@@ -249,7 +249,7 @@ def evidence_route(s, d):
 
 
 def _base(s, d):
-    return lexical.bm25(td.viewed(s, d), td.topics(s, d), 100)
+    return written(lexical.bm25(td.viewed(s, d), td.topics(s, d), 100), "run")
 
 
 def _overlay_docs(s, d):
