@@ -52,30 +52,36 @@ _ODD = re.compile("[^\x00-\x7f]")
 
 
 class Mapped:
-    """A rewritten text; at[i] is the source position of its i-th character, None while nothing was rewritten."""
+    """A rewritten text; its i-th character stands for source[at[i]:to[i]]. Both are None while nothing was rewritten."""
 
     def __init__(self, text: str):
         self.text = text
         self.at: list[int] | None = None
+        self.to: list[int] | None = None
 
-    def source(self, i: int) -> int:
-        return i if self.at is None else self.at[i]
+    def source(self, a: int, b: int) -> tuple[int, int]:
+        """The source span of text[a:b]."""
+        return (a, b) if self.at is None else (self.at[a], self.to[b - 1])
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
-        """edits (start, end, new) in order; a new character comes from the start of what it replaces."""
+        """edits (start, end, new) in order; each new character stands for all that it replaces."""
         if not edits:
             return
-        old = self.at if self.at is not None else range(len(self.text))
-        out, at, p = [], [], 0
+        n = len(self.text)
+        old_at = self.at if self.at is not None else range(n)
+        old_to = self.to if self.to is not None else range(1, n + 1)
+        out, at, to, p = [], [], [], 0
         for start, end, new in edits:
-            out.append(self.text[p:start])
-            at.extend(old[p:start])
-            out.append(new)
-            at.extend([old[start]] * len(new))
+            out += [self.text[p:start], new]
+            at.extend(old_at[p:start])
+            to.extend(old_to[p:start])
+            at.extend([old_at[start]] * len(new))
+            to.extend([old_to[end - 1]] * len(new))
             p = end
         out.append(self.text[p:])
-        at.extend(old[p:])
-        self.text, self.at = "".join(out), at
+        at.extend(old_at[p:])
+        to.extend(old_to[p:])
+        self.text, self.at, self.to = "".join(out), at, to
 
 
 def _char(c: str) -> str | None:
@@ -292,7 +298,7 @@ def mentions(text: str | None, names: Names) -> list[tuple[str, int, int]]:
     for a, b, kind, _ in sorted(found, key=lambda x: (x[3], x[0], -x[1])):
         if all(b <= p or a >= q for p, q, _ in taken):
             taken.append((a, b, kind))
-    return [(kind, m.source(a), m.source(b - 1) + 1) for a, b, kind in sorted(taken)]
+    return [(kind, *m.source(a, b)) for a, b, kind in sorted(taken)]
 
 
 def masked(text: str | None, names: Names) -> str | None:
