@@ -141,6 +141,8 @@ def is_furniture(line: str, title: str | None) -> bool:
     s = line.strip()
     if not s:
         return False
+    if len(s) > 30 and s[-1].islower() and s[0].islower():
+        return False  # starts and ends within a sentence
     m = _NUMBER.match(s)
     if m:
         inner = s.strip("-–—[]() ")
@@ -222,7 +224,7 @@ def analyse(text: str, title: str | None, known: set[str]) -> list[tuple]:
     return rows
 
 
-_ROWS = "snapshot_id string, doc_id string, line_no long, kind string, a string, b string, line2 long, cut int, prev string, next string"
+_ROWS = "version long, doc_id string, line_no long, kind string, a string, b string, line2 long, cut int, prev string, next string"
 
 
 def _strong(word: str) -> str | None:
@@ -275,12 +277,19 @@ def ranked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["word", "fix", "cost", "n", "bit"])
 
 
-def valid_rows(docs: DataFrame) -> DataFrame:
-    """(snapshot_id, doc_id, title, abstract, full_text) of each document and snapshot: the row with the latest delivered_at."""
+def valid_versions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, versions). valid(snapshot_id, doc_id, version): the row with the latest delivered_at of each document and snapshot, ties: the larger hash.
+    versions(doc_id, version, title, abstract, full_text): each text of a document once, in however many snapshots it stands unchanged.
+    """
     rows = docs.select("snapshot_id", doc_key(F.col("doc_id")).alias("doc_id"), "delivered_at", "title", "abstract", "full_text").where("doc_id is not null and snapshot_id is not null")
-    best = written(rows.groupBy("snapshot_id", "doc_id").agg(F.max("delivered_at").alias("delivered_at")), "valid")
-    on = (F.col("r.doc_id") == F.col("v.doc_id")) & (F.col("r.snapshot_id") == F.col("v.snapshot_id")) & F.col("r.delivered_at").eqNullSafe(F.col("v.delivered_at"))
-    return rows.alias("r").join(bounded(best).alias("v"), on, "left_semi").drop("delivered_at")
+    # the three texts with their nulls: xxhash64 skips a null as if it weren't there
+    version = F.xxhash64(*(F.coalesce(c, F.lit("")) for c in ("title", "abstract", "full_text")), *(F.col(c).isNull() for c in ("title", "abstract", "full_text")))
+    rows = rows.withColumn("version", version)
+    valid = written(rows.groupBy("snapshot_id", "doc_id").agg(F.max(F.struct("delivered_at", "version")).alias("v")).select("snapshot_id", "doc_id", "v.version"), "valid")
+    one = written(valid.groupBy("doc_id", "version").agg(F.min("snapshot_id").alias("snapshot_id")), "first")
+    texts = rows.drop("delivered_at").join(bounded(one), ["doc_id", "version", "snapshot_id"], "left_semi").drop("snapshot_id")
+    # a row that was delivered twice stands twice: the copies meet by key, without their texts being compared
+    return valid, texts
 
 
 def lexicon_of(rows: DataFrame) -> DataFrame:
@@ -337,11 +346,11 @@ def neighbour_counts(rows: DataFrame, bits: DataFrame) -> DataFrame:
 
 
 class Repair:
-    """The analysis of a corpus, as tables."""
+    """The analysis of a corpus, as tables. Each version of a document's texts is analysed once, and joined with the snapshots that hold it at the end."""
 
     def __init__(self, docs: DataFrame):
         spark = docs.sparkSession
-        self.rows = valid_rows(docs)
+        self.valid, self.rows = valid_versions(docs)
         self.lexicon = written(lexicon_of(self.rows), "lexicon")
         top = [r[0] for r in self.lexicon.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).select("word").collect()]
         sent = spark.sparkContext.broadcast("\n".join(top))
@@ -349,18 +358,18 @@ class Repair:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = set(sent.value.split("\n"))
             for pdf in frames:
-                out = [(s, d, *x) for s, d, title, text in zip(pdf["snapshot_id"], pdf["doc_id"], pdf["title"], pdf["full_text"]) if is_scanned(text) for x in analyse(text, title, known)]
+                out = [(s, d, *x) for s, d, title, text in zip(pdf["version"], pdf["doc_id"], pdf["title"], pdf["full_text"]) if is_scanned(text) for x in analyse(text, title, known)]
                 got = pd.DataFrame(out, columns=[c.split()[0] for c in _ROWS.split(", ")])
                 yield got.astype({"line2": "Int64", "cut": "Int32"})
 
-        texts = self.rows.where("full_text is not null").select("snapshot_id", "doc_id", "title", "full_text")
+        texts = self.rows.where("full_text is not null").select("version", "doc_id", "title", "full_text")
         self.found = written(texts.mapInPandas(run, _ROWS), "found")
         self.splits = self._splits()
         self.fixes = self._fixes()
 
     def _splits(self) -> DataFrame:
         """Broken words; a compound that was broken at its own hyphen is none."""
-        s = self.found.where("kind = 'split'").select("snapshot_id", "doc_id", "line_no", "a", "b", "line2", "cut")
+        s = self.found.where("kind = 'split'").select("version", "doc_id", "line_no", "a", "b", "line2", "cut")
         plain = s.where("b is null")
         asked = s.where("b is not null").join(self.lexicon.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b", "left").join(self.lexicon.select(F.col("word").alias("a"), F.col("n").alias("na")), "a", "left")
         kept = asked.where(F.col("nb").isNull() | (F.coalesce("na", F.lit(0)) >= F.col("nb")))
@@ -411,8 +420,8 @@ class Repair:
         return cuts(suspects).join(heads, "head", "left_semi").join(tails, "tail", "left_semi").select("word").distinct()
 
     def misread(self) -> DataFrame:
-        """(snapshot_id, doc_id, line_no, word, fix, line2, cut) of every misread word."""
-        tokens = self.found.where("kind = 'token'").select("snapshot_id", "doc_id", "line_no", F.col("a").alias("word"), "line2", "cut", "prev", "next")
+        """(version, doc_id, line_no, word, fix, line2, cut) of every misread word."""
+        tokens = self.found.where("kind = 'token'").select("version", "doc_id", "line_no", F.col("a").alias("word"), "line2", "cut", "prev", "next")
         out = tokens.join(self.certain, "word").drop("prev", "next")
         if self.by_context is not None:
             out = out.unionByName(tokens.join(self.by_context, ["word", "prev", "next"]).drop("prev", "next"))
@@ -420,23 +429,25 @@ class Repair:
 
     def lines(self) -> DataFrame:
         """(snapshot_id, doc_id, line_no, kind): one row per line and kind. A misread word that is broken counts for the line its wrong characters are on."""
-        furniture = self.found.where("kind = 'furniture'").select("snapshot_id", "doc_id", "line_no", "kind")
-        split = self.splits.select("snapshot_id", "doc_id", "line_no", F.lit("split_word").alias("kind"))
+        furniture = self.found.where("kind = 'furniture'").select("version", "doc_id", "line_no", "kind")
+        split = self.splits.select("version", "doc_id", "line_no", F.lit("split_word").alias("kind"))
         m = self.misread()
         head_ok = F.col("line2").isNotNull() & (F.substr("fix", F.lit(1), F.col("cut")) == F.substr("word", F.lit(1), F.col("cut")))
         tail = F.length("word") - F.col("cut")
         tail_ok = F.col("line2").isNotNull() & (F.right("fix", tail) == F.right("word", tail))
         on = F.array_compact(F.array(F.when(~head_ok | F.col("line2").isNull(), F.col("line_no")), F.when(F.col("line2").isNotNull() & ~tail_ok, F.col("line2"))))
-        wrong = m.select("snapshot_id", "doc_id", F.explode(on).alias("line_no"), F.lit("misread").alias("kind"))
-        return furniture.unionByName(split).unionByName(wrong).distinct()
+        wrong = m.select("version", "doc_id", F.explode(on).alias("line_no"), F.lit("misread").alias("kind"))
+        lines = furniture.unionByName(split).unionByName(wrong).distinct()
+        return lines.join(self.valid, ["version", "doc_id"]).select("snapshot_id", "doc_id", "line_no", "kind")
 
     def texts(self) -> DataFrame:
         """(snapshot_id, doc_id, text): every valid full text; those from scanned pages in repaired paragraphs, the others as they are."""
-        split = self.splits.select("snapshot_id", "doc_id", F.struct(F.lit("s").alias("k"), "line_no", F.col("a").alias("w"), F.lit(None).cast("string").alias("fix")).alias("x"))
-        fix = self.misread().select("snapshot_id", "doc_id", F.struct(F.lit("m").alias("k"), "line_no", F.col("word").alias("w"), "fix").alias("x"))
-        per = split.unionByName(fix).groupBy("snapshot_id", "doc_id").agg(F.collect_list("x").alias("acts"))
-        texts = self.rows.where("full_text is not null").select("snapshot_id", "doc_id", "title", "full_text").dropDuplicates(["snapshot_id", "doc_id"])
-        return texts.join(per, ["snapshot_id", "doc_id"], "left").mapInPandas(_repaired, "snapshot_id string, doc_id string, text string")
+        split = self.splits.select("version", "doc_id", F.struct(F.lit("s").alias("k"), "line_no", F.col("a").alias("w"), F.lit(None).cast("string").alias("fix")).alias("x"))
+        fix = self.misread().select("version", "doc_id", F.struct(F.lit("m").alias("k"), "line_no", F.col("word").alias("w"), "fix").alias("x"))
+        per = split.unionByName(fix).groupBy("version", "doc_id").agg(F.collect_list("x").alias("acts"))
+        texts = self.rows.where("full_text is not null").select("version", "doc_id", "title", "full_text").dropDuplicates(["version", "doc_id"])
+        done = texts.join(per, ["version", "doc_id"], "left").mapInPandas(_repaired, "version long, doc_id string, text string")
+        return done.join(self.valid, ["version", "doc_id"]).select("snapshot_id", "doc_id", "text")
 
 
 def _plain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -485,9 +496,9 @@ def repaired(text: str, title: str | None, splits: set[int], fixes: dict[str, st
 def _repaired(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         out = []
-        for s, d, title, text, acts in zip(pdf["snapshot_id"], pdf["doc_id"], pdf["title"], pdf["full_text"], pdf["acts"]):
+        for s, d, title, text, acts in zip(pdf["version"], pdf["doc_id"], pdf["title"], pdf["full_text"], pdf["acts"]):
             if is_scanned(text):
                 acts = list(acts) if acts is not None else []
                 text = repaired(text, title, {a["line_no"] for a in acts if a["k"] == "s"}, {a["w"]: a["fix"] for a in acts if a["k"] == "m"})
             out.append((s, d, text))
-        yield pd.DataFrame(out, columns=["snapshot_id", "doc_id", "text"])
+        yield pd.DataFrame(out, columns=["version", "doc_id", "text"])
