@@ -85,7 +85,7 @@ def expanded_terms(tokens: DataFrame, topics: DataFrame, docs: int = 3, terms: i
     return own.unionByName(new).groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))
 
 
-def rm3(docs: DataFrame, topics: DataFrame, k: int = 1000, **params) -> DataFrame:
+def rm3(docs: DataFrame, topics: DataFrame, k: int = 1000, /, **params) -> DataFrame:
     tokens = written(tokenized(docs), "tokens")
     return top_k(bm25_scores(tokens, expanded_terms(tokens, topics, **params)), k)
 

@@ -48,11 +48,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_WRITTEN: list[str] = []
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Deletes the tables that written() made so far. Results that still read them can't be used any more."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str = "t") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
