@@ -1,6 +1,6 @@
 """Near-duplicate texts with an LSH forest.
 
-Every text becomes its set of distinct word sequences. A forest of TREES orders is built: in each, a text's
+Every text becomes its set of distinct word sequences. A forest of TREES sorted orders is built: in each, a text's
 label is DEPTH minhash values, and texts are sorted by label. Texts that share the first MIN_DEPTH values form a region.
 Where a region is sparse, all its texts are candidates of each other; where it is crowded the depth grows, region by
 region, until few are left, and at each depth the neighbours with the longest common prefix on either side are candidates too.
@@ -8,7 +8,7 @@ A small minhash sketch drops candidates that are plainly unlike; the rest are ve
 
 Texts with equal sets are one class and enter the forest once; members are joined back at the end.
 Regions are streamed from a sorted partition, and a crowded region is cut while it streams, so a task holds one
-leaf, not a group. Pairs at the threshold meet in a tree with probability t**MIN_DEPTH (at 0.5, 32 trees: 0.986 over all).
+leaf, not a group. Pairs at the threshold meet in a tree with probability t**MIN_DEPTH (at 0.5, 40 trees: 0.995 over all).
 """
 
 from __future__ import annotations

@@ -196,7 +196,7 @@ def analyse(text: str, title: str | None, known: set[str]) -> list[tuple]:
         toks = tokens_of(line)
         b = _BROKEN.search(line)
         ahead = lines[body[n + 1]].lstrip() if n + 1 < len(body) else ""
-        goes_on = b and ahead and re.match(r"[^\W\d_]|!", ahead)
+        goes_on = b and ahead and re.match(r"[!5019]{0,3}[^\W\d_]", ahead)
         words = []
         for start, end, w in toks:
             low = w.lower()

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.text import words
+from tidewater.functions.text import strip, words
 from tidewater.session import written
 
 _HEAD = 3
@@ -132,7 +132,7 @@ def cross_split_pairs(queries: DataFrame, *, threshold: float = 0.7) -> DataFram
     queries has query_id, text, split; other columns are ignored. split is trimmed and its case ignored; rows with a
     null query_id, or a null or another split, are in no pair, nor are null, empty and wordless texts. Repeated rows count once.
     """
-    split = F.lower(F.trim("split"))
+    split = F.lower(strip(F.col("split")))
     rows = queries.where(F.col("query_id").isNotNull() & split.isin("train", "dev", "test")).select("query_id", (split == "train").alias("train"), "text")
     rows = written(word_classes(rows).select("query_id", "train", "cls", "_w").dropDuplicates(["query_id", "train", "cls"]), "members")
     sides = rows.groupBy("cls").agg(F.max("train").alias("t"), F.max(~F.col("train")).alias("e"), F.first("_w").alias("_w"))
@@ -146,7 +146,7 @@ def cross_split_pairs(queries: DataFrame, *, threshold: float = 0.7) -> DataFram
 
 def overlap_report(queries: DataFrame, pairs: DataFrame) -> DataFrame:
     """(split, source, n_queries, n_overlapping): evaluation queries per split and source, and how many overlap with train. A null source stays null."""
-    split = F.lower(F.trim("split"))
+    split = F.lower(strip(F.col("split")))
     rows = queries.where(F.col("query_id").isNotNull() & split.isin("dev", "test")).select("query_id", split.alias("split"), "source").distinct()
     hit = pairs.select(F.explode(F.array("query_a", "query_b")).alias("query_id")).distinct().withColumn("hit", F.lit(True))
     return rows.join(hit, "query_id", "left").groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_queries"), F.count_if(F.coalesce("hit", F.lit(False))).alias("n_overlapping"))
