@@ -85,7 +85,46 @@ SELECT ref_table, snapshot_id,
 FROM w GROUP BY 1, 2
 """
 
+_REST = r"^(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d+))?)?(?: ?(am|pm))? ?(z|[a-z]{3,4}|[+-]\d{2}(?::?\d{2})?)?(?:\[.*\])?$"
+_P3 = rf"""
+WITH v AS (
+  SELECT 'temporal_features' AS src_table, feature_id AS row_id, 'publication_datetime' AS field_name, publication_datetime AS text, feed_zone FROM temporal_features
+  UNION SELECT 'temporal_features', feature_id, 'update_datetime', update_datetime, feed_zone FROM temporal_features
+  UNION SELECT 'dataset_metadata', load_id, 'timestamp', timestamp, feed_zone FROM dataset_metadata),
+t AS (SELECT * EXCLUDE (text), lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM v WHERE text IS NOT NULL),
+p AS (SELECT *,
+  regexp_extract(t, '^(\d{{4}})-(\d{{2}})-(\d{{2}})(?:[t ](.+))?$', ['y', 'm', 'd', 'r']) AS iso,
+  regexp_extract(t, '^(\d{{4}})(\d{{2}})(\d{{2}})(?:t(\d{{2}})(\d{{2}})(\d{{2}})(z?))?$', ['y', 'm', 'd', 'h', 'i', 's', 'z']) AS com,
+  regexp_extract(t, '^(\d{{1,2}})([/.])(\d{{1,2}})[/.](\d{{4}}) (.+)$', ['a', 'sep', 'b', 'y', 'r']) AS par,
+  regexp_extract(t, '^(?:[a-z]{{3}}, )?(\d{{1,2}}) ([a-z]+) (\d{{4}})(?: (.+))?$', ['d', 'm', 'y', 'r']) AS dm,
+  regexp_extract(t, '^([a-z]+) (\d{{1,2}}), (\d{{4}})(?: (.+))?$', ['m', 'd', 'y', 'r']) AS md,
+  regexp_extract(t, '^(\d{{4}})(?:-(\d{{2}}))?$', ['y', 'm']) AS ym FROM t),
+q AS (SELECT src_table, row_id, field_name, feed_zone, t,
+  CASE WHEN iso.y <> '' THEN iso.y WHEN com.y <> '' THEN com.y WHEN par.y <> '' THEN par.y WHEN dm.y <> '' THEN dm.y WHEN md.y <> '' THEN md.y ELSE ym.y END AS y,
+  CASE WHEN iso.y <> '' THEN iso.m WHEN com.y <> '' THEN com.m WHEN par.y <> '' THEN CASE par.sep WHEN '/' THEN par.a ELSE par.b END
+    WHEN dm.y <> '' THEN CAST(list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], left(dm.m, 3)) AS VARCHAR)
+    WHEN md.y <> '' THEN CAST(list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], left(md.m, 3)) AS VARCHAR)
+    WHEN ym.y <> '' THEN CASE ym.m WHEN '' THEN '1' ELSE ym.m END END AS m,
+  CASE WHEN iso.y <> '' THEN iso.d WHEN com.y <> '' THEN com.d WHEN par.y <> '' THEN CASE par.sep WHEN '/' THEN par.b ELSE par.a END WHEN dm.y <> '' THEN dm.d WHEN md.y <> '' THEN md.d WHEN ym.y <> '' THEN '1' END AS d,
+  CASE WHEN iso.y <> '' THEN iso.r WHEN com.h <> '' THEN com.h || ':' || com.i || ':' || com.s || com.z WHEN par.y <> '' THEN par.r WHEN dm.y <> '' THEN dm.r WHEN md.y <> '' THEN md.r ELSE '' END AS r FROM p),
+c AS (SELECT *, regexp_extract(r, '{_REST}', ['h', 'i', 's', 'f', 'ap', 'z']) AS k,
+  CASE WHEN y <> '' AND m IS NOT NULL AND TRY_CAST(y AS INT) >= 1 THEN TRY_CAST(y || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') AS DATE) END AS day FROM q),
+n AS (SELECT *, CASE WHEN k.ap = '' THEN TRY_CAST(k.h AS INT) WHEN TRY_CAST(k.h AS INT) BETWEEN 1 AND 12 THEN TRY_CAST(k.h AS INT) % 12 + CASE k.ap WHEN 'pm' THEN 12 ELSE 0 END END AS hh FROM c),
+w AS (SELECT *, CASE WHEN r = '' THEN epoch_us(day) WHEN hh < 24 AND TRY_CAST(k.i AS INT) < 60 AND coalesce(TRY_CAST(k.s AS INT), 0) < 60
+    THEN epoch_us(day) + ((hh * 60 + TRY_CAST(k.i AS BIGINT)) * 60 + coalesce(TRY_CAST(k.s AS BIGINT), 0)) * 1000000 + TRY_CAST(rpad(left(k.f, 6), 6, '0') AS BIGINT) END AS wall,
+  CASE WHEN k.z IN ('z', 'utc', 'gmt') THEN 0 WHEN k.z = 'cet' THEN 60 WHEN k.z = 'cest' THEN 120 WHEN k.z = 'est' THEN -300 WHEN k.z = 'edt' THEN -240
+    WHEN k.z <> '' THEN (CASE left(k.z, 1) WHEN '-' THEN -1 ELSE 1 END) * (TRY_CAST(substr(k.z, 2, 2) AS INT) * 60 + coalesce(TRY_CAST(right(replace(k.z, ':', ''), -3) AS INT), 0)) WHEN feed_zone IS NULL THEN 0 END AS minutes FROM n),
+u AS (SELECT *, epoch_us(timezone(coalesce(feed_zone, 'UTC'), make_timestamp(wall))) AS last_us FROM w),
+f AS (SELECT src_table, row_id, field_name, CASE
+  WHEN regexp_full_match(t, '\d{{10,18}}') THEN TRY_CAST(t AS BIGINT) * CASE WHEN TRY_CAST(t AS BIGINT) < 100000000000 THEN 1000000 ELSE 1000 END
+  WHEN minutes IS NOT NULL THEN wall - TRY_CAST(minutes AS BIGINT) * 60000000
+  -- of a repeated hour the first: an hour earlier shows the same wall clock
+  WHEN epoch_us(timezone(feed_zone, make_timestamptz(last_us - 3600000000))) = wall THEN last_us - 3600000000 ELSE last_us END AS utc_us FROM u)
+SELECT DISTINCT src_table, row_id, field_name, utc_us FROM f WHERE utc_us IS NOT NULL
+"""
+
 SQL = {
+    "p3_found": _P3,
     "p1_found": _P1,
     "p1_counts": f"SELECT snapshot_id, change_kind, count(*) AS n_docs FROM ({_P1}) GROUP BY 1, 2",
     "p6_found": _P6,
