@@ -117,6 +117,7 @@ CASES = [
     ("Station 21 lies on the Novetti Road transect", []),
     ("Dr. Hana Kesswyck, J. Novetti and Wyrides, Olga; LAMOVECZ, J.F. met JOSÉ\nFENIELLO-DORNETTI", [("name", "Hana Kesswyck"), ("name", "J. Novetti"), ("name", "Wyrides, Olga"), ("name", "LAMOVECZ, J.F."), ("name", "JOSÉ\nFENIELLO-DORNETTI")]),
     ("The Novetti test, Kesswyck and Wyrides (1967), Lametti et al., the Market", []),
+    ("We thank Ms S. Novanovi and Prof. Hana B. Wyrides.", [("name", "S. Novanovi"), ("name", "Hana B. Wyrides")]),
     ("We thank Bruno van der Kessides.", [("name", "Bruno van der Kessides")]),
 ]
 

@@ -192,7 +192,7 @@ _PARTICLE = r"(?:(?:[Vv]an der|[Vv]an den|[Vv]an|[Vv]on der|[Vv]on|[Dd]e la|[Dd]
 _GAP = r"(?:[ \t]*\n[ \t]*|[ \t]+)"
 _WORDS = re.compile(r"\p{Lu}[\p{L}’']*(?:-\p{Lu}[\p{L}’']*)*")
 _INITIALS = r"\p{Lu}\.(?:[ ]?-?\p{Lu}\.){0,3}"
-_GIVEN_BEFORE = re.compile(rf"(?<![\p{{L}}\p{{N}}.'’@-])(?P<first>\p{{Lu}}[\p{{L}}’']+(?:-\p{{Lu}}[\p{{L}}’']+)?|{_INITIALS})(?:{_GAP}(?:{_INITIALS}|(?P<second>\p{{Lu}}[\p{{L}}’']+(?:-\p{{Lu}}[\p{{L}}’']+)?)))?{_GAP}(?:{_PARTICLE})?$")
+_GIVEN_BEFORE = re.compile(rf"(?<![\p{{L}}\p{{N}}.'’@-])(?P<first>\p{{Lu}}[\p{{L}}’']+(?:-\p{{Lu}}[\p{{L}}’']+)?|{_INITIALS})(?:{_GAP}(?:(?P<mid>{_INITIALS})|(?P<second>\p{{Lu}}[\p{{L}}’']+(?:-\p{{Lu}}[\p{{L}}’']+)?)))?{_GAP}(?:{_PARTICLE})?$")
 _PARTICLE_BEFORE = re.compile(rf"(?<![\p{{L}}\p{{N}}]){_PARTICLE}$")
 _GIVEN_AFTER = re.compile(rf"[ \t]*,(?:{_GAP})?(?P<first>\p{{Lu}}\p{{Ll}}[\p{{L}}’']*(?:-\p{{Lu}}[\p{{L}}’']+)?|\p{{Lu}}{{2,}}(?:-\p{{Lu}}{{2,}})?|{_INITIALS})(?:{_GAP}{_INITIALS})?(?![\p{{L}}\p{{N}}@])")
 _ROAD_AFTER = re.compile(rf"{_GAP}(?:Road|Street|Avenue|Lane|et al|test\b|method\b|transect|model\b|index\b)")
@@ -258,7 +258,10 @@ def _names(text: str, names: Names) -> Iterator[tuple[int, int]]:
             first, second = g.group("first"), g.group("second")
             at = start - len(before) + g.start("first")
             initials = "." in first
-            if second and not names.is_given(second):
+            if g.group("mid") and not initials and (first.lower() in _TITLES or not names.is_given(first)):
+                # initials behind a title
+                at, first, initials = start - len(before) + g.start("mid"), g.group("mid"), True
+            elif second and not names.is_given(second):
                 second, first, at, initials = None, "", None, False
             elif second and not initials and (first.lower() in _TITLES or not names.is_given(first) or (first.lower() not in names.given and second.lower() in names.given)):
                 # the word in front belongs to the sentence
