@@ -135,6 +135,8 @@ def test_overlay(spark):
         assert {r.doc_id: r.score for r in got}["x"] == pytest.approx(0.5)  # not in the corpus: its relevance alone
         if mode == "citation_only":
             assert [r.doc_id for r in got] == ["a", "x", "b", "t"]  # no citations: the order stays
+    hints = spark.createDataFrame([("q", "b", 5.0), ("q", "x", 5.0)], "query_id string, doc_id string, boost double")
+    assert overlay(run, t, d, 86400 * 300, Settings(head=3), hints=hints).orderBy("rank").first().doc_id == "b"
     low = overlay(run, t, d, 86400 * 300, Settings(head=3, tail="rescale")).orderBy("rank").collect()
     assert all(x.score >= y.score for x, y in zip(low, low[1:]))
     with pytest.raises(ValueError):

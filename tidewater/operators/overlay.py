@@ -96,12 +96,13 @@ def _weight(name: str) -> Column:
     return out
 
 
-def overlay(run: DataFrame, topics: DataFrame, docs: DataFrame, at_s: int, s: Settings = Settings(), top: int = 1000) -> DataFrame:
+def overlay(run: DataFrame, topics: DataFrame, docs: DataFrame, at_s: int, s: Settings = Settings(), top: int = 1000, hints: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank, mode): the head of a run scored again with temporal and citation evidence, then its tail.
 
     run(query_id, doc_id, score, rank); docs(doc_id, text, published_s, updated_s, year, total_in, sig_*). Head documents that docs
     doesn't hold keep their normalised relevance. The tail keeps its raw scores (tail='raw') or is scaled under the head ('rescale').
-    Queries that topics doesn't hold are dropped.
+    Queries that topics doesn't hold are dropped. hints(query_id, doc_id, boost), one row per pair at most, adds to known head documents
+    what history or clusters say in their favour.
     """
     if s.mode not in MODES:
         raise ValueError(f"unknown overlay mode: {s.mode}")
@@ -126,6 +127,9 @@ def overlay(run: DataFrame, topics: DataFrame, docs: DataFrame, at_s: int, s: Se
         "citation_only": F.col("rel") + cited,
         "router": F.col("rel") + F.when(F.col("route").isin("temporal", "mixed"), time).otherwise(0.0) + F.when(F.col("route").isin("citation", "mixed"), cited).otherwise(0.0),
     }.get(s.mode, F.col("rel") + time + cited)
+    if hints is not None:
+        head = head.join(hints.select("query_id", "doc_id", "boost"), ["query_id", "doc_id"], "left")
+        final = final + z("boost")
     head = head.select("query_id", "doc_id", F.when(F.col("known"), final).otherwise(F.col("rel")).alias("score"), F.lit(0).alias("part"), F.col("rank").alias("pos"))
     tail = base.where(F.col("rank") > s.head).select("query_id", "doc_id", "score", F.lit(1).alias("part"), F.col("rank").alias("pos"))
     if s.tail == "rescale":
