@@ -152,3 +152,35 @@ def test_crowded_regions_stream_the_same_pairs():
 def test_near_duplicates_of_nothing(spark):
     members, links = forest.near_duplicates(spark.createDataFrame([], "key string, text string"))
     assert rows(members) == [] and rows(links) == [] and rows(forest.groups(members, links)) == []
+
+
+@pytest.mark.parametrize("n, block", [(400, None), (300, 70)])
+def test_crowd_of_edited_copies(spark, monkeypatch, n, block):
+    """A crowd finds as much as a few texts do, in one block or several."""
+    monkeypatch.setattr(forest, "BLOCK", block or forest.BLOCK)
+    rng = np.random.default_rng(11)
+    base, data = [f"b{i}" for i in range(160)], []
+    for i in range(n):
+        w = list(base)
+        for at in rng.choice(160, rng.integers(1, 18), replace=False):
+            w[at] = f"e{rng.integers(1_000_000)}"
+        data.append((f"C{i:04d}", " ".join(w)))
+    members, links = forest.near_duplicates(spark.createDataFrame(data, "key string, text string"), threshold=0.5, size=3, least=20)
+    got = set(rows(forest.all_pairs(members, links)))
+    sets = {k: sh(t, 3) for k, t in data}
+    exact = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    assert got <= exact
+    assert len(got) >= 0.995 * len(exact)
+
+
+def test_crowds_come_out_whole_while_they_stream():
+    import pandas as pd
+
+    sizes = [3, 70, 2, 200, 5]
+    label = [bytes([i] * forest.DEPTH) for i, n in enumerate(sizes) for _ in range(n)]
+    pdf = pd.DataFrame({"tree": 1, "label": label, "key": [f"k{i:03d}" for i in range(len(label))], "sketch": [b"\x01" * forest.SKETCH] * len(label)})
+    for hold, step in ((1000, 280), (100, 40), (10, 7)):
+        out = pd.concat(forest.neighbours(iter([pdf[i : i + step].reset_index(drop=True) for i in range(0, len(pdf), step)]), 1, hold=hold, crowd=64))
+        rest = out[out["b"].isna()]
+        assert sorted(zip(rest["a"], rest["label"])) == [(k, x) for k, x in zip(pdf["key"], label) if x[0] in (1, 3)]
+        assert len(out) - len(rest) == 3 + 1 + 10

@@ -1,14 +1,13 @@
 """Near-duplicate texts with an LSH forest.
 
 Every text becomes its set of distinct word sequences. A forest of TREES sorted orders is built: in each, a text's
-label is DEPTH minhash values, and texts are sorted by label. Texts that share the first MIN_DEPTH values form a region.
-Where a region is sparse, all its texts are candidates of each other; where it is crowded the depth grows, region by
-region, until few are left, and at each depth the neighbours with the longest common prefix on either side are candidates too.
-A small minhash sketch drops candidates that are plainly unlike; the rest are verified exactly on the full sets.
+label is DEPTH minhash values. Texts with the same label form a region, and all texts of a region are candidates of each other.
+In a region of up to LEAF texts a small minhash sketch drops candidates that are plainly unlike; the rest are verified exactly on the
+full sets. A larger region is split into blocks; every pair of blocks is a task of its own, which counts what its texts share exactly.
 
 Texts with equal sets are one class and enter the forest once; members are joined back at the end.
-Regions are streamed from a sorted partition, and a crowded region is cut while it streams, so a task holds one
-leaf, not a group. Pairs at the threshold meet in a tree with probability t**MIN_DEPTH (at 0.5, 40 trees: 0.995 over all).
+A task holds small regions or two blocks, not a group. However many texts are alike, a pair at the threshold meets in a tree
+with probability t**DEPTH (at 0.5, 40 trees: 0.995 over all).
 """
 
 from __future__ import annotations
@@ -27,11 +26,11 @@ from pyspark.sql import functions as F
 from tidewater.operators.snapshots import doc_key, numbered, snapshot_names
 from tidewater.session import bounded, written
 
-TREES, DEPTH, MIN_DEPTH, SKETCH = 40, 8, 3, 32
-#: A region of at most LEAF texts isn't cut further.
-LEAF = 64
-#: In a crowded region, this many neighbours on either side in the sorted order.
-NEAR = 4
+TREES, DEPTH, SKETCH = 40, 3, 32
+#: Values of a label that the texts of a region share: all.
+MIN_DEPTH = DEPTH
+#: A region of more than LEAF texts is split into blocks of about BLOCK.
+LEAF, BLOCK = 64, 1000
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -100,56 +99,31 @@ def _pairs_of(keys: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray
             out.append((keys[x[ok]], keys[y[ok]]))
 
 
-def _region(keys: np.ndarray, labels: np.ndarray, sketch: np.ndarray, depth: int, least: int, out: list) -> None:
-    """Candidates among texts that are sorted by label and share their first `depth` values."""
-    n = len(keys)
-    if n < 2:
-        return
-    if n <= LEAF:
-        i, j = np.triu_indices(n, 1)
-        _pairs_of(keys, sketch, i, j, least, out)
-    elif depth == DEPTH:
-        # as alike as the forest can tell: every pair, a row block at a time
-        for s in range(n - 1):
-            j = np.arange(s + 1, n)
-            _pairs_of(keys, sketch, np.full(len(j), s), j, least, out)
-    else:
-        for gap in range(1, NEAR + 1):
-            i = np.arange(n - gap)
-            _pairs_of(keys, sketch, i, i + gap, least, out)
-        cuts = np.flatnonzero(np.diff(labels[:, depth])) + 1
-        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, n]):
-            _region(keys[lo:hi], labels[lo:hi], sketch[lo:hi], depth + 1, least, out)
-
-
 def _regions(keys: np.ndarray, head: np.ndarray, sketch: np.ndarray, least: int) -> list:
-    """head is tree and label. Candidates of many whole regions, one after the other: the small ones all at once, the crowded ones each on their own."""
+    """head is tree and label. Candidates of many whole regions, one after the other: every pair of each."""
     out: list = []
-    n, labels = len(keys), head[:, 1:]
+    n = len(keys)
     starts = np.r_[0, np.flatnonzero((head[1:, : 1 + MIN_DEPTH] != head[:-1, : 1 + MIN_DEPTH]).any(axis=1)) + 1]
     sizes = np.diff(np.r_[starts, n])
-    for lo, size in zip(starts[sizes > LEAF], sizes[sizes > LEAF]):
-        _region(keys[lo : lo + size], labels[lo : lo + size], sketch[lo : lo + size], MIN_DEPTH, least, out)
     ends = np.repeat(starts + sizes, sizes)
-    ends[np.repeat(sizes > LEAF, sizes)] = 0
     i = np.arange(n)
-    for gap in range(1, LEAF):
+    for gap in range(1, int(sizes.max())):
         i = i[i + gap < ends[i]]
-        if not len(i):
-            break
         _pairs_of(keys, sketch, i, i + gap, least, out)
     return out
 
 
-def neighbours(frames: Iterator[pd.DataFrame], least: int, hold: int = 50_000) -> Iterator[pd.DataFrame]:
-    """Rows (tree, label, key, sketch) sorted by tree and label, to candidate pairs (a, b).
+def neighbours(frames: Iterator[pd.DataFrame], least: int, hold: int = 50_000, crowd: int | None = None) -> Iterator[pd.DataFrame]:
+    """Rows (tree, label, key, sketch) sorted by tree and label, to candidate pairs (a, b): every pair of each region.
 
-    At most about `hold` rows are kept: a larger open region is worked off at the next depth, all but its last part.
+    Rows are gathered until there are more than `hold`, then all but the last, open region is worked off.
+    If `crowd` is given, rows are (a, b, tree, label): pairs with null tree and label, and of a region of more than `crowd` texts its keys as a, with null b.
     """
     kept = None
+    passing = None
 
     def close(keys: np.ndarray, head: np.ndarray, sketch: np.ndarray) -> pd.DataFrame:
-        out = _regions(keys, head, sketch, least)
+        out = _regions(keys, head, sketch, least) if len(keys) else []
         if not out:
             return pd.DataFrame({"a": [], "b": []}, dtype=object)
         x, y = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
@@ -157,6 +131,15 @@ def neighbours(frames: Iterator[pd.DataFrame], least: int, hold: int = 50_000) -
         pairs = pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y)})
         return pairs[pairs["a"] != pairs["b"]].drop_duplicates()
 
+    def worked(keys: np.ndarray, head: np.ndarray, sketch: np.ndarray) -> pd.DataFrame:
+        if crowd is None:
+            return close(keys, head, sketch)
+        starts = np.r_[0, np.flatnonzero((head[1:] != head[:-1]).any(axis=1)) + 1]
+        sizes = np.diff(np.r_[starts, len(keys)])
+        many = np.repeat(sizes > crowd, sizes) | ((head == passing).all(axis=1) if passing is not None else False)
+        rest = pd.DataFrame({"a": keys[many], "b": None, "tree": head[many, 0].astype(int), "label": [x.tobytes() for x in head[many, 1:]]}, dtype=object)
+        return pd.concat([close(keys[~many], head[~many], sketch[~many]).assign(tree=None, label=None), rest], ignore_index=True)
+
     for pdf in frames:
         if not len(pdf):
             continue
@@ -165,17 +148,60 @@ def neighbours(frames: Iterator[pd.DataFrame], least: int, hold: int = 50_000) -
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH)
         if kept is not None:
             keys, head, sketch = np.concatenate([kept[0], keys]), np.concatenate([kept[1], head]), np.concatenate([kept[2], sketch])
-        width = 1 + MIN_DEPTH
-        while True:
-            last = int(np.flatnonzero((head[:, :width] != head[-1, :width]).any(axis=1))[-1] + 1) if (head[0, :width] != head[-1, :width]).any() else 0
-            if len(keys) - last <= hold or width == 1 + DEPTH:
-                break
-            width += 1
-        if last > 1:
-            yield close(keys[:last], head[:last], sketch[:last])
+        last = 0
+        if len(keys) > hold:
+            other = np.flatnonzero((head != head[-1]).any(axis=1))
+            last = int(other[-1]) + 1 if other.size else 0
+            if last:
+                yield worked(keys[:last], head[:last], sketch[:last])
+            if crowd is not None and (len(keys) - last > crowd or passing is not None and (head[-1] == passing).all()):
+                passing = head[-1]  # the open region is a crowd: its rows needn't wait
+                yield worked(keys[last:], head[last:], sketch[last:])
+                last = len(keys)
         kept = (keys[last:], head[last:], sketch[last:])
     if kept is not None and len(kept[0]):
-        yield close(*kept)
+        yield worked(*kept)
+
+
+def block_links(pdf: pd.DataFrame, threshold: float, few: int = 32) -> pd.DataFrame:
+    """pdf(tree, i, j, block, key, labels, items): the texts of blocks i and j of a region. Links (a, b) between i and j, exactly.
+
+    A pair that an earlier tree brought together too is left to that tree.
+    """
+    t = Fraction(str(threshold))
+    tree = int(pdf["tree"].iloc[0])
+    block, keys = pdf["block"].to_numpy(), pdf["key"].to_numpy(object)
+    left, right = np.flatnonzero(block == pdf["i"].iloc[0]), np.flatnonzero(block == pdf["j"].iloc[0])
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
+    n = np.array([len(x) for x in sets])
+    labels = np.frombuffer(b"".join(pdf["labels"]), np.uint8).reshape(len(pdf), TREES, DEPTH)[:, :tree].astype(np.int64)
+    met = sum(labels[:, :, k] << (8 * k) for k in range(DEPTH))
+    # of each sequence, where in `right` the sets are that hold it
+    known, code = np.unique(np.concatenate([sets[y] for y in right] or [np.zeros(0, np.uint64)]), return_inverse=True)
+    holders = np.repeat(np.arange(len(right)), n[right])[np.argsort(code, kind="stable")]
+    ends = np.cumsum(np.bincount(code, minlength=len(known)))
+    begins = np.r_[0, ends[:-1]]
+    same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+    a, b = [], []
+    for at, x in enumerate(left):
+        new = ~(met[right] == met[x]).any(axis=1)
+        if same:
+            new[: at + 1] = False
+        found = np.flatnonzero(new)
+        if len(found) <= few:
+            both = np.array([len(np.intersect1d(sets[x], sets[right[y]], assume_unique=True)) for y in found], np.int64)
+        else:
+            c = np.minimum(np.searchsorted(known, sets[x]), len(known) - 1)
+            c = c[known[c] == sets[x]]
+            long = ends[c] - begins[c]
+            place = np.arange(long.sum()) + np.repeat(begins[c] - (np.cumsum(long) - long), long)
+            both = np.bincount(holders[place], minlength=len(right))[found]
+        ok = found[both * t.denominator >= t.numerator * (n[x] + n[right[found]] - both)]
+        a.append(np.repeat(keys[x], len(ok)))
+        b.append(keys[right[ok]])
+    x, y = (np.concatenate([np.zeros(0, object), *v]).astype(object) for v in (a, b))
+    swap = x > y
+    return pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y)}, dtype=object)
 
 
 def verified(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
@@ -203,6 +229,17 @@ def latest_texts(docs: DataFrame) -> DataFrame:
     return j.select("key", F.concat_ws(" ", "title", "abstract", "full_text").alias("text"))
 
 
+def _crowd_links(crowds: DataFrame, members: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """crowds(tree, label, key) of regions of more than LEAF texts, to links (a, b). Every text goes to the pairs of blocks that its block is in."""
+    sizes = crowds.groupBy("tree", "label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = crowds.join(sizes, ["tree", "label"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    keys = bounded(members.where("key = rep").select("key", "cls").join(crowds.select("key").distinct(), "key", "left_semi"))
+    texts = signed.select("key", "cls", "labels", "items").join(keys, ["key", "cls"], "left_semi").dropDuplicates(["key"]).drop("cls")
+    rows = placed.join(texts, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("tree", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "labels", "items")
+    return rows.groupBy("tree", "label", "i", "j").applyInPandas(lambda pdf: block_links(pdf, threshold), "a string, b string")
+
+
 def near_duplicates(texts: DataFrame, *, threshold: float = 0.8, size: int = 5, least: int = 1) -> tuple[DataFrame, DataFrame]:
     """texts(key, text) to (members, links).
 
@@ -218,13 +255,16 @@ def near_duplicates(texts: DataFrame, *, threshold: float = 0.8, size: int = 5,
     placed = signed.select("key", "cls", "labels", "sketch").join(bounded(reps), ["key", "cls"], "left_semi").dropDuplicates(["key"])
     rows = placed.select("key", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "labels")
     rows = rows.select("tree", F.expr(f"substring(labels, tree * {DEPTH} + 1, {DEPTH})").alias("label"), "key", "sketch")
-    rows = rows.repartition("tree", F.substring("label", 1, MIN_DEPTH)).sortWithinPartitions("tree", "label", "key")
+    rows = rows.repartition("tree", "label").sortWithinPartitions("tree", "label", "key")
     agree = int(SKETCH * max(0.0, threshold - 0.3))
-    pairs = written(rows.mapInPandas(lambda frames: neighbours(frames, agree), "a string, b string").distinct(), "pairs")
+    found = written(rows.mapInPandas(lambda frames: neighbours(frames, agree, crowd=LEAF), "a string, b string, tree int, label binary").distinct(), "found")
+    pairs, crowds = found.where("b is not null").select("a", "b"), found.where("b is null").select("tree", "label", F.col("a").alias("key"))
     used = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "used")
     items = signed.join(bounded(members.where("key = rep").select("key", "cls").join(used, "key", "left_semi")), ["key", "cls"], "left_semi").select("key", "items").dropDuplicates(["key"])
     sides = pairs.join(items.select(F.col("key").alias("a"), F.col("items").alias("items_a")), "a").join(items.select(F.col("key").alias("b"), F.col("items").alias("items_b")), "b")
     links = written(sides.mapInPandas(lambda frames: verified(frames, threshold), "a string, b string"), "links")
+    if not crowds.isEmpty():
+        links = written(links.unionByName(written(_crowd_links(crowds, members, signed, threshold), "crowded")).distinct(), "links")
     return members.select("key", "rep"), links
 
 
