@@ -70,6 +70,18 @@ def test_fusion(spark):
     assert [x.doc_id for x in fusion.union_candidates(ranked, ["y", "x"]).orderBy("rank").collect()] == ["b", "d", "a", "c"]
 
 
+def test_fusion_of_whole_runs(spark, tmp_path):
+    from tidewater.plans import retrieval_queries as q
+
+    lists = {q.LEX: range(1200), q.DENSE: range(1199, -1, -1)}
+    rank = {(name, i): n for name, ids in lists.items() for n, i in enumerate(ids, 1)}
+    spark.createDataFrame([(name, "q", f"d{i:04d}", 2000.0 - n, n) for (name, i), n in rank.items()], RUNS).write.parquet(str(tmp_path / "search_results.parquet"))
+    assert q.ranked_runs(spark, str(tmp_path)).count() == 2400
+    got = {r.doc_id: r.score for r in q.rrf_two(spark, str(tmp_path)).collect()}
+    assert len(got) == 1000
+    assert got["d0000"] == pytest.approx(1 / 61 + 1 / 1260, abs=1e-8)
+
+
 def test_rerank_and_splice(spark):
     q = spark.createDataFrame([("q", "dog the the")], "query_id string, text string")
     base = spark.createDataFrame([("q", "a", 9.0, 1), ("q", "x", 8.0, 2), ("q", "e", 7.0, 3), ("q", "c", 6.0, 4)], "query_id string, doc_id string, score double, rank int")

@@ -12,11 +12,12 @@ from tidewater.operators.lexical import top_k
 NO_RANK = 1_000_000_000
 
 
-def ranked_runs(runs: DataFrame, depth: int = 1000) -> DataFrame:
-    """Ranks 1..n per run and query: by positive rank, the rest after, then score, then doc_id. Rows past `depth` of a run are cut off, as runs are."""
+def ranked_runs(runs: DataFrame, depth: int | None = None) -> DataFrame:
+    """Ranks 1..n per run and query: by positive rank, the rest after, then score, then doc_id. Whole runs, or their first `depth` rows."""
     rank = F.when(F.col("rank") > 0, F.col("rank")).otherwise(NO_RANK)
     w = Window.partitionBy("run_name", "query_id").orderBy(rank, F.desc("score"), "doc_id")
-    return runs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= depth)
+    out = runs.withColumn("rank", F.row_number().over(w))
+    return out if depth is None else out.where(F.col("rank") <= depth)
 
 
 def rrf(runs: DataFrame, k: int = 60, top: int = 1000) -> DataFrame:

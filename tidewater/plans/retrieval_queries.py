@@ -125,7 +125,7 @@ def eval_mean_trec(s, d):
 
 
 def _ranked(s, d, *names: str) -> DataFrame:
-    return fusion.ranked_runs(td.runs(s, d).where(F.col("run_name").isin(*names)), 100)
+    return fusion.ranked_runs(td.runs(s, d).where(F.col("run_name").isin(*names)))
 
 
 LEX, DENSE, FULL = "bm25_title_abstract", "dense_title_abstract", "bm25_full_text"
@@ -133,17 +133,17 @@ LEX, DENSE, FULL = "bm25_title_abstract", "dense_title_abstract", "bm25_full_tex
 
 @query
 def ranked_runs(s, d):
-    return fusion.ranked_runs(td.runs(s, d), 100).select("run_name", "query_id", "doc_id", "rank")
+    return fusion.ranked_runs(td.runs(s, d)).select("run_name", "query_id", "doc_id", "rank")
 
 
 @query
 def rrf_two(s, d):
-    return fusion.rrf(_ranked(s, d, LEX, DENSE), top=100).select("query_id", "doc_id", F.round("score", 8).alias("score"), "rank")
+    return fusion.rrf(_ranked(s, d, LEX, DENSE)).select("query_id", "doc_id", F.round("score", 8).alias("score"), "rank")
 
 
 @query
 def rrf_three(s, d):
-    return fusion.rrf(_ranked(s, d, LEX, DENSE, FULL), top=100).select("query_id", "doc_id", F.round("score", 8).alias("score"), "rank")
+    return fusion.rrf(_ranked(s, d, LEX, DENSE, FULL)).select("query_id", "doc_id", F.round("score", 8).alias("score"), "rank")
 
 
 @query
