@@ -103,6 +103,14 @@ def test_metrics_by_hand(spark):
         evaluation.metric("precision_5")
 
 
+def test_metrics_of_whole_runs(spark):
+    r = spark.createDataFrame([("x", "q", f"d{i:04d}", 2000.0 - i, i) for i in range(1, 1201)], RUNS)
+    j = spark.createDataFrame([("q", "d1100", 1)], "query_id string, doc_id string, relevance int")
+    for preset in ("builtin", "trec"):
+        assert evaluation.per_query(r, j, ["map"], preset=preset).first()["map"] == pytest.approx(1 / 1100)
+        assert evaluation.per_query(r, j, ["map"], preset=preset, depth=1000).first()["map"] == 0
+
+
 def test_latest_judgment_wins(spark):
     j = spark.sql("select * from values ('q', 'a', 1, timestamp '2025-01-01'), ('q', 'a', null, timestamp '2025-02-01'), ('q', 'b', 2, timestamp '2025-01-01') t(query_id, doc_id, relevance, judged_at)")
     assert rows(evaluation.latest_qrels(j)) == [("q", "a", 0), ("q", "b", 2)]
