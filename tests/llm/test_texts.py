@@ -77,6 +77,15 @@ def test_packing(spark):
         assert r.n_containers <= r.least_containers * 1.02 + 2
 
 
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_packing_keeps_null_and_repeated_ids(spark, kind):
+    data = [(None if i % 7 == 0 else str(i % 90), 0, 200 + 37 * i % 1100, "s", i) for i in range(300)]
+    it = spark.createDataFrame(data, "doc_id string, piece int, n_tokens int, source string, cluster long").selectExpr(f"cast(doc_id as {kind}) doc_id", "piece", "n_tokens", "source", "cluster")
+    p = packing.pack(it, shard_items=40)
+    assert rows(p.select("doc_id", "piece", "n_tokens")) == rows(it.select("doc_id", "piece", "n_tokens"))
+    assert tuple(packing.packing_faults(it, p).first())[1:3] == (0, 0)
+
+
 def test_packing_cuts_only_what_must_be_cut(spark):
     from pyspark.sql import functions as F
 

@@ -19,7 +19,7 @@ from tidewater.session import written
 
 CAPACITY = 2048
 SHARD_ITEMS = 20_000
-_OUT = "shard int, bin int, doc_id {kind}, piece int, n_tokens int"
+_OUT = "shard int, bin int, item long, doc_id string, piece int, n_tokens int"
 
 
 def best_fit(pdf: pd.DataFrame, capacity: int, looks: int = 64) -> list[int]:
@@ -89,10 +89,11 @@ def _packed(items: DataFrame, capacity: int, shard_items: int, n: int) -> DataFr
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # an order that doesn't depend on how rows arrived
         pdf = pdf.sort_values(["n_tokens", "h", "piece"], kind="stable").reset_index(drop=True)
-        return pdf.assign(bin=best_fit(pdf, capacity))[["shard", "bin", "doc_id", "piece", "n_tokens"]]
+        return pdf.assign(bin=best_fit(pdf, capacity))[["shard", "bin", "item", "doc_id", "piece", "n_tokens"]]
 
-    spread = items.withColumn("h", F.xxhash64("doc_id", "piece")).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-    return spread.groupBy("shard").applyInPandas(run, _OUT.format(kind=kind))
+    # as strings, since pandas has no whole numbers beside nulls
+    spread = items.withColumn("h", F.xxhash64("doc_id", "piece")).withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+    return spread.groupBy("shard").applyInPandas(run, _OUT).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def sized_items(docs: DataFrame, count, capacity: int = CAPACITY) -> DataFrame:
@@ -109,7 +110,7 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, shard_items: int = SHARD
     Items of 0 tokens (null and empty texts) are put in some container too. An empty table gives no rows.
     Pieces of a cut text aren't kept from each other or from copies. doc_ids should be unique; rows that repeat one are items of their own.
     """
-    items = written(items, "items")
+    items = written(items.withColumn("item", F.monotonically_increasing_id()), "items")  # written, so the numbers stay
     done: DataFrame | None = None
     current = items
     for r in range(rounds):
@@ -124,8 +125,7 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, shard_items: int = SHARD
             fill = bins.groupBy("shard", "bin").agg(F.sum("n_tokens").alias("fill"))
             marked = bins.join(fill, ["shard", "bin"]).withColumn("open", F.col("fill") < full * capacity)
             part = marked.where("not open").drop("fill", "open")
-            again = marked.where("open").select("doc_id", "piece")
-            current = written(items.join(again, ["doc_id", "piece"], "left_semi"), "again")
+            current = written(items.join(marked.where("open").select("item"), "item", "left_semi"), "again")
         done = part if done is None else done.unionByName(part)
         if current is None:
             break
@@ -142,9 +142,9 @@ def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def packing_faults(items: DataFrame, packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row that should be all zero but n_docs: containers over capacity, items missing or twice, and copies that share a container."""
+    """One row that should be all zero but n_docs: containers over capacity, items missing or twice, and copies that share a container (of items with a doc_id)."""
     over = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("f")).agg(F.count_if(F.col("f") > capacity).alias("n_over"))
     seen = items.select("doc_id", "piece", F.lit(1).alias("a")).unionByName(packed.select("doc_id", "piece", F.lit(-1).alias("a"))).groupBy("doc_id", "piece").agg(F.sum("a").alias("a")).agg(F.count_if(F.col("a") != 0).alias("n_lost"))
-    shared = packed.join(items.where("cluster is not null").select("doc_id", "piece", "cluster"), ["doc_id", "piece"]).groupBy("container_id", "cluster").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_conflicts"))
+    shared = packed.join(items.where("cluster is not null").select("doc_id", "piece", "cluster").distinct(), ["doc_id", "piece"]).groupBy("container_id", "cluster").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_conflicts"))
     docs = items.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n_docs"))
     return docs.crossJoin(over).crossJoin(seen).crossJoin(shared)  # one row each
