@@ -184,3 +184,12 @@ def test_crowds_come_out_whole_while_they_stream():
         rest = out[out["b"].isna()]
         assert sorted(zip(rest["a"], rest["label"])) == [(k, x) for k, x in zip(pdf["key"], label) if x[0] in (1, 3)]
         assert len(out) - len(rest) == 3 + 1 + 10
+
+
+def test_groups_never_end_unfinished(spark):
+    names = [f"k{i:02d}" for i in range(40)]
+    members = spark.createDataFrame([(k, k) for k in names], "key string, rep string")
+    chain = spark.createDataFrame(list(zip(names, names[1:])), "a string, b string")
+    with pytest.raises(RuntimeError, match="still change"):
+        forest.groups(members, chain, rounds=1)
+    assert {r.group_id for r in forest.groups(members, chain).collect()} == {"k00"}

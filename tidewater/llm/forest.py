@@ -279,14 +279,16 @@ def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return across.unionByName(within)
 
 
-def groups(members: DataFrame, links: DataFrame, rounds: int = 30) -> DataFrame:
+def groups(members: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(doc_id, group_id, n_links): connected groups of near-duplicates, named by their least key; n_links counts linked classes of other texts.
 
     Least labels spread along links and then jump to the label of their label, so long chains take few rounds. Only classes with links take part.
+    Ends when nothing changes; an error if `rounds` are given and don't reach that.
     """
     edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     label = written(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "label")
-    for _ in range(rounds):
+    done = 0
+    while True:
         near = edges.join(label.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = label.join(near, "a", "left").select("a", F.least("label", "near").alias("l"), F.col("label").alias("old"))
         jump = step.join(label.select(F.col("a").alias("l"), F.col("label").alias("up")), "l", "left")
@@ -295,6 +297,9 @@ def groups(members: DataFrame, links: DataFrame, rounds: int = 30) -> DataFrame:
         label = new.select("a", "label")
         if not changed:
             break
+        done += 1
+        if done == rounds:
+            raise RuntimeError(f"labels still change after {rounds} rounds")
     degree = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
     known = label.join(degree, "a").withColumnRenamed("a", "rep")
     return members.join(known, "rep", "left").select(F.col("key").alias("doc_id"), F.coalesce("label", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
