@@ -230,3 +230,13 @@ def test_versions_and_membership(spark):
     d = spark.createDataFrame([("a", at("2025-03-31T23:59:59Z")), ("b", at("2025-04-01T00:00:00Z")), ("c", at("2025-06-08T23:59:59Z")), ("late", at("2025-07-01")), ("u", None)], "doc_id string, published_s long")
     got = {r.doc_id: (r.index_no, r.in_baseline, r.days_after) for r in drift.membership(d, v, "2025-03-31", at("2025-12-31")).collect()}
     assert got == {"a": (0, True, 0), "b": (1, False, 1), "c": (2, False, 69)}
+
+
+def test_pivot_has_every_snapshot(spark, tmp_path):
+    from tidewater.plans import retrieval_queries as q
+
+    spark.createDataFrame([("x", f"snapshot-{i}", "q", "a" if i == 3 else "b", 1.0, 1) for i in (1, 2, 3)], "run_name string, snapshot_id string, query_id string, doc_id string, score double, rank int").write.parquet(str(tmp_path / "search_results.parquet"))
+    spark.sql("select 'q' query_id, 'a' doc_id, 1 relevance, timestamp '2025-01-01' judged_at").write.parquet(str(tmp_path / "qrels.parquet"))
+    got = q.method_snapshot_pivot(spark, str(tmp_path))
+    assert got.columns == ["method", *(f"s{i}_{m}" for i in (1, 2, 3) for m in ("ndcg_cut_10", "map"))]
+    assert rows(got) == [("x", 0.0, 0.0, 0.0, 0.0, 1.0, 1.0)]

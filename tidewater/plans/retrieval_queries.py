@@ -349,8 +349,9 @@ def snapshot_deltas(s, d):
 
 @query
 def method_snapshot_pivot(s, d):
-    p = reports.method_snapshot_pivot(_by_snapshot(s, d), ["ndcg_cut_10", "map"], ["snapshot-1", "snapshot-2"])
-    return p.select("method", *(F.col(f"`{n}-{i}_{m}`").alias(f"s{i}_{m}") for n in ("snapshot",) for i in (1, 2) for m in ("ndcg_cut_10", "map")))
+    names, metrics = snapshot_names(table(s, d, "search_results")), ["ndcg_cut_10", "map"]
+    p = reports.method_snapshot_pivot(_by_snapshot(s, d), metrics, names)
+    return p.select("method", *(F.col(f"`{n}_{m}`").alias(f"s{i}_{m}") for i, n in enumerate(names, 1) for m in metrics))
 
 
 @query
