@@ -131,14 +131,43 @@ def test_instants_against_zoneinfo(spark):
 
 
 def test_mixture_learns_the_order_of_a_source(spark):
-    """Without conventions, a source whose clear values put the day first reads its unclear ones that way; a source without clear values stays ambiguous."""
+    """Without rules, a source whose clear values put the day first reads its unclear ones that way; a source without clear values stays ambiguous."""
     clear = [("a", f"{d}/03/2020 08:00 AM") for d in range(13, 29)]
     df = spark.createDataFrame([(s, t, None) for s, t in [*clear, ("a", "04/03/2020 08:00 AM"), ("b", "04/03/2020 08:00 AM")]], "src string, text string, feed_zone string")
-    got = {(r.src, r.text): (r.fmt, r.ambiguous, r.utc_us) for r in ins.resolve(df, conventions=frozenset()).collect()}
+    got = {(r.src, r.text): (r.fmt, r.ambiguous, r.utc_us) for r in ins.resolve(df, odds={}).collect()}
     assert got["a", "04/03/2020 08:00 AM"] == ("slash_dmy", False, us(2020, 3, 4, 8))
     assert got["b", "04/03/2020 08:00 AM"][1:] == (True, None)
 
 
+def _chosen(spark, texts, **kw):
+    df = spark.createDataFrame([(s, t, z) for s, t, z in texts], "src string, text string, feed_zone string")
+    return {(r.src, r.text): (r.fmt, r.utc_us) for r in ins.resolve(df, **kw).collect()}
+
+
+def test_choices_flip_with_the_mixture(spark):
+    """The same text is read by what its source's other values show: order of day and month, seconds or milliseconds."""
+    days = [("a", f"{d}.03.2020 08:00", None) for d in range(13, 29)] + [("b", f"03.{d}.2020 08:00", None) for d in range(13, 29)]
+    ms = [("a", str(1_600_000_000_000 + i), None) for i in range(40)] + [("b", str(1_600_000_000 + i), None) for i in range(2)]
+    asked = [(s, t, None) for s in "ab" for t in ("04.05.2020 08:00",)] + [("a", "1234567890", None)]
+    free = _chosen(spark, [*days, *ms, *asked], odds={})
+    assert free["a", "04.05.2020 08:00"] == ("dot_dmy", us(2020, 5, 4, 8)) and free["b", "04.05.2020 08:00"] == ("dot_mdy", us(2020, 4, 5, 8))
+    ruled = _chosen(spark, [*days, *ms, *asked])
+    assert ruled["a", "04.05.2020 08:00"] == ruled["b", "04.05.2020 08:00"] == ("dot_dmy", us(2020, 5, 4, 8))
+    assert ruled["b", "03.20.2020 08:00"] == ("none", None)  # an impossible date stays one, however often it is sent
+    assert ruled["a", "1234567890"] == ("epoch_s", 1234567890_000000)
+    # weaker odds than the rules': a source that shows the other order often enough turns them
+    weak = _chosen(spark, [*days, *ms, *asked], odds={"dot_mdy": 0.9})
+    assert weak["b", "04.05.2020 08:00"] == ("dot_mdy", us(2020, 4, 5, 8)) and weak["a", "04.05.2020 08:00"] == ("dot_dmy", us(2020, 5, 4, 8))
+
+
+def test_second_showing_of_a_wall_clock(spark):
+    clear = [("a", f"2020-06-{d:02d} 01:30", "America/New_York") for d in range(1, 29)]
+    got = _chosen(spark, [*clear, ("a", "2024-11-03 01:30", "america/new_york"), ("b", "2024-11-03 01:30", NY)], odds={})
+    assert got["a", "2024-11-03 01:30"] == ("iso", us(2024, 11, 3, 5, 30))
+    assert got["b", "2024-11-03 01:30"][1] is None  # nothing tells the two apart
+    assert _chosen(spark, [("b", "2024-11-03 01:30", NY)])["b", "2024-11-03 01:30"] == ("iso", us(2024, 11, 3, 5, 30))
+
+
 def test_instants_of_nothing(spark):
     df = spark.createDataFrame([], "row_id int, src string, text string, feed_zone string")
     assert rows(ins.resolve(df)) == []

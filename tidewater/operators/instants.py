@@ -1,13 +1,17 @@
 """Mixed timestamp texts to one UTC instant.
 
-Every text is parsed under each format it fits (all of it in the JVM); a value can fit several, such as a
-slashed date with month or day first. A mixture over formats is fitted per source by expectation-maximisation:
-a value adds likelihood to every format under which it is a valid instant, the format weights of its source
-give posteriors, and the posteriors choose. A value whose best posterior stays under `certain` keeps a null
-instant and is marked ambiguous. The fit runs on counts per source and set of valid formats, a table of a few
-rows per source, inside one task per source; the data are read once and joined with the posteriors.
-
-`conventions` are formats that a documented rule excludes beforehand (likelihood 0 everywhere).
+Every text is parsed under each format it fits (all of it in the JVM); a value can fit several: a slashed or dotted date
+with month or day first, eight digits with the year first or last, bare digits of seconds or milliseconds, a wall clock
+that occurs twice. A mixture over formats is fitted per source by expectation-maximisation: a value adds likelihood to
+every format under which it is a valid instant, the format weights of its source give posteriors, and the posteriors choose.
+A value whose best posterior stays under `certain` keeps a null instant and is marked ambiguous. The fit runs on counts per
+source and set of valid formats, a table of a few rows per source, inside one task per source; the data are read once
+and joined with the posteriors.
+
+Documented rules enter as prior odds (`RULES`): a reading that breaks one has its likelihood divided by a large number. A value that
+only a rule-breaking reading fits also has the reading `none` (noise, no instant), whose odds lie between, so that
+it takes an impossible date for no instant before it takes it for another format. Without rules (odds={}) all readings start
+alike and only the source's own mixture chooses.
 """
 
 from __future__ import annotations
@@ -43,8 +47,9 @@ _MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augu
 OFFSETS = {"z": 0, "utc": 0, "gmt": 0, "cet": 60, "cest": 120, "est": -300, "edt": -240}
 #: From this size on, bare digits are milliseconds: as seconds they would lie past the year 5138.
 EPOCH_MS = 100_000_000_000
-#: The rules for numeric dates: slashes put the month first, dots the day, eight digits start with the year.
-CONVENTIONS = frozenset({"slash_dmy", "dot_mdy", "compact_dmy"})
+#: Prior odds of readings that break a documented rule (slashes put the month first, dots the day, eight digits start with the year, fewer
+#: than EPOCH_MS are seconds, of a repeated wall clock the first is meant), and of noise. All other readings have odds of 1.
+RULES = {"slash_dmy": 1e-12, "dot_mdy": 1e-12, "compact_dmy": 1e-12, "epoch_ms_short": 1e-12, "repeated_second": 1e-12, "none": 1e-6}
 
 _ZONES = sorted(zoneinfo.available_timezones())
 _DAY = 86_400_000_000
@@ -76,9 +81,12 @@ def _zone_at(wall: Column, zone: Column) -> Column:
 _FORMATS = {"iso": "iso", "compact": "compact_ymd", "day_month": "day_month_name", "month_day": "month_name_day", "year_month": "year_month", "month_year": "month_name_year", "year": "year"}
 
 
-def with_candidates(values: DataFrame, conventions: frozenset[str] = CONVENTIONS) -> DataFrame:
+def with_candidates(values: DataFrame, noise: bool = True) -> DataFrame:
     """Adds cands, array<struct<fmt, utc_us>>: every valid reading of `text`, wall clocks without a zone read in `feed_zone` (null: UTC).
 
+    A zone of the feed is known in any letter case. `noise` adds the reading `none` where the usual reading of a text is impossible but another isn't.
+    Bare digits of 19 or more places, and milliseconds past the year 9999, mean no instant.
+
     The steps are columns of their own, so that each is evaluated once and the plan stays small.
     """
     out = values.withColumns({"_t": F.lower(F.regexp_replace(strip(F.col("text")), r"(?U)\s+", " ")), "_feed": F.nullif(strip(F.col("feed_zone")), F.lit(""))})
@@ -123,7 +131,7 @@ def with_candidates(values: DataFrame, conventions: frozenset[str] = CONVENTIONS
             "_hour": hour,
             "_hh": F.when(F.col("_zone").rlike("^[+-]"), _int(F.substring("_zone", 2, 2))),
             "_mm": F.when(F.col("_zone").rlike("^[+-]"), F.coalesce(_int(F.regexp_extract("_zone", r"^.\d\d:?(\d\d)$", 1)), F.lit(0).cast("long"))),
-            "_iana": F.when(F.col("_zone") == "", F.when(F.col("_named") != "", F.try_element_at(known, F.col("_named"))).when(feed.isin(_ZONES), feed)),
+            "_iana": F.when(F.col("_zone") == "", F.when(F.col("_named") != "", F.try_element_at(known, F.col("_named"))).when(feed.isin(_ZONES), feed).otherwise(F.try_element_at(known, F.lower(feed)))),
         }
     )
     clock = F.when(F.col("_h").isNull(), F.lit(0).cast("long")).when((F.col("_hour") < 24) & (F.col("_mi") < 60) & (F.col("_s") < 60), ((F.col("_hour") * 60 + F.col("_mi")) * 60 + F.col("_s")) * 1_000_000 + F.col("_frac"))
@@ -132,24 +140,38 @@ def with_candidates(values: DataFrame, conventions: frozenset[str] = CONVENTIONS
     out = out.withColumns({"_wall": F.col("_day") * _DAY + F.col("_clock"), "_alt_wall": F.col("_alt_day") * _DAY + F.col("_clock")})
     utc = lambda wall: F.when(F.col("_minutes").isNotNull(), F.col(wall) - F.col("_minutes") * 60_000_000).when(F.col("_iana").isNotNull(), _zone_at(F.col(wall), F.col("_iana")))
     epoch = F.col("_epoch")
+    short = epoch < EPOCH_MS
+    top = F.lit(253_402_300_800_000)  # the year 10000
+    # a wall clock that a later offset shows again: the offset a day on, if it lies behind, gives the second time
+    later = F.col("_wall") - (F.col("_wall") + _DAY - _zone_at(F.col("_wall") + _DAY, F.col("_iana")))
     out = out.withColumns(
         {
-            "_main": F.when(epoch < EPOCH_MS, "epoch_s").when(epoch >= EPOCH_MS, "epoch_ms").otherwise(F.col("_main")),
-            "_utc": F.when(epoch < EPOCH_MS, epoch * 1_000_000).when(epoch < 9_000_000_000_000_000, epoch * 1000).otherwise(utc("_wall")),
-            "_alt_utc": utc("_alt_wall"),
+            "_main": F.when(short, "epoch_s").when(epoch.isNotNull(), "epoch_ms").otherwise(F.col("_main")),
+            "_utc": F.when(short, epoch * 1_000_000).when(epoch < top, epoch * 1000).otherwise(utc("_wall")),
+            "_alt": F.when(short, "epoch_ms_short").otherwise(F.col("_alt")),
+            "_alt_utc": F.when(short, epoch * 1000).otherwise(utc("_alt_wall")),
+            "_again": F.when(F.col("_minutes").isNull() & F.col("_iana").isNotNull() & F.col("_wall").isNotNull(), later),
         }
     )
-    allowed = lambda f, u: F.when(F.col(u).isNotNull() & ~F.col(f).isin(*conventions, ""), F.struct(F.col(f).alias("fmt"), F.col(u).alias("utc_us")))
-    return out.withColumn("cands", F.array_compact(F.array(allowed("_main", "_utc"), allowed("_alt", "_alt_utc")))).select(*values.columns, "cands")
+    shown = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(F.col("_again")), F.col("_iana")))
+    out = out.withColumn("_again", F.when(F.col("_again") > F.col("_utc"), F.when(shown == F.col("_wall"), F.col("_again"))))
+    reading = lambda f, u: F.when(u.isNotNull(), F.struct(f.alias("fmt"), u.alias("utc_us")))
+    cands = [reading(F.col("_main"), F.col("_utc")), reading(F.col("_alt"), F.col("_alt_utc")), reading(F.lit("repeated_second"), F.col("_again"))]
+    if noise:
+        cands.append(F.when(F.col("_utc").isNull() & F.col("_alt_utc").isNotNull(), F.struct(F.lit("none").alias("fmt"), F.lit(None).cast("long").alias("utc_us"))))
+    return out.withColumn("cands", F.array_compact(F.array(*cands))).select(*values.columns, "cands")
+
 
+def fit(pdf: pd.DataFrame, steps: int, prior: float, odds: dict[str, float]) -> pd.DataFrame:
+    """EM for one source: rows (fmts, n) are counts per set of valid formats. Gives each set's best format and posterior.
 
-def fit(pdf: pd.DataFrame, steps: int, prior: float) -> pd.DataFrame:
-    """EM for one source: rows (fmts, n) are counts per set of valid formats. Gives each set's best format and posterior."""
+    A valid reading has its prior odds as likelihood. `prior` is added to each format's count.
+    """
     names = sorted({f for fs in pdf["fmts"] for f in fs})
     at = {f: i for i, f in enumerate(names)}
     valid = np.zeros((len(pdf), len(names)))
     for r, fs in enumerate(pdf["fmts"]):
-        valid[r, [at[f] for f in fs]] = 1
+        valid[r, [at[f] for f in fs]] = [odds.get(f, 1.0) for f in fs]
     n = pdf["n"].to_numpy(float)[:, None]
     weight = np.full(len(names), 1 / len(names))
     for _ in range(steps):
@@ -157,35 +179,36 @@ def fit(pdf: pd.DataFrame, steps: int, prior: float) -> pd.DataFrame:
         post /= post.sum(axis=1, keepdims=True)
         new = (post * n).sum(axis=0) + prior
         new /= new.sum()
-        done = np.abs(new - weight).max() < 1e-9
+        done = np.abs(new - weight).max() < 1e-12
         weight = new
         if done:
             break
     post = valid * weight
     post /= post.sum(axis=1, keepdims=True)
-    best = post.argmax(axis=1)
+    best = np.round(post, 9).argmax(axis=1)
     return pd.DataFrame({"src": pdf["src"], "fmts": pdf["fmts"], "n": pdf["n"], "fmt": [names[b] for b in best], "posterior": post[np.arange(len(post)), best]})
 
 
 _FIT = "src string, fmts array<string>, n long, fmt string, posterior double"
 
 
-def posteriors(read: DataFrame, steps: int = 200, prior: float = 0.5) -> DataFrame:
+def posteriors(read: DataFrame, odds: dict[str, float], steps: int = 500, prior: float = 0.5) -> DataFrame:
     """read has src and cands; one row per source and set of valid formats."""
     sets = read.where("size(cands) > 0").groupBy("src", F.transform("cands", lambda c: c["fmt"]).alias("fmts")).agg(F.count(F.lit(1)).alias("n"))
-    return sets.groupBy("src").applyInPandas(lambda pdf: fit(pdf, steps, prior), _FIT)
+    return sets.groupBy("src").applyInPandas(lambda pdf: fit(pdf, steps, prior, odds), _FIT)
 
 
-def resolve(values: DataFrame, *, conventions: frozenset[str] = CONVENTIONS, certain: float = 0.95) -> DataFrame:
-    """values(src, text, feed_zone, ...) plus fmt, posterior, utc_us and ambiguous.
+def resolve(values: DataFrame, *, odds: dict[str, float] | None = None, certain: float = 0.95) -> DataFrame:
+    """values(src, text, feed_zone, ...) plus fmt, posterior, utc_us and ambiguous. odds: prior odds of readings, RULES by default; {} for none.
 
     Null, blank and unreadable texts, impossible dates and unknown zones give a null utc_us that isn't ambiguous. Rows and other columns stay.
     An empty table gives an empty table. Surrounding white space and letter case don't matter; digits past microseconds are cut off.
     """
-    read = with_candidates(values, conventions)
+    odds = RULES if odds is None else odds
+    read = with_candidates(values, "none" in odds)
     # Written before anything filters on it: a pushed-down filter would copy the whole parse into itself.
     read = written(read.withColumn("fmts", F.transform("cands", lambda c: c["fmt"])), "readings")
-    post = written(posteriors(read), "posteriors").select("src", "fmts", "fmt", "posterior")
+    post = written(posteriors(read, odds), "posteriors").select("src", "fmts", "fmt", "posterior")
     read = read.join(bounded(post), ["src", "fmts"], "left")
     sure = F.col("posterior") >= certain
     chosen = F.try_element_at(F.transform(F.filter("cands", lambda c: c["fmt"] == F.col("fmt")), lambda c: c["utc_us"]), F.lit(1))
@@ -207,6 +230,6 @@ def instants(temporal: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def format_mixture(temporal: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Per source and chosen format: values, and how many stay ambiguous, when no convention is given but what the data show."""
-    got = resolve(timestamp_values(temporal, metadata), conventions=frozenset())
+    """Per source and chosen format: values, and how many stay ambiguous, when no rule is given but what the data show."""
+    got = resolve(timestamp_values(temporal, metadata), odds={})
     return got.where("fmt is not null").groupBy("src_table", "field_name", "feed_zone", "fmt").agg(F.count(F.lit(1)).alias("n_values"), F.count_if("ambiguous").alias("n_ambiguous"))
