@@ -2,13 +2,14 @@
 
 A text is the sequence of its distinct words in one global order (rarest first). Between two such sequences
 the insert/delete edit distance is the number of words in one text only, so a share of common words of at least t means
-a distance of at most k = (1-t)/(1+t) * (words of both). Each evaluation text is cut into k+1 segments: k of one word at
-its rare end, and the rest. With at most k edits one segment stands unedited in the training text, at a
-position that k allows (|shift| + |length difference - shift| <= k). Training texts emit their words, and the runs of two and three
-words that a last segment can start with, at such positions. Candidates are verified with banded dynamic programming.
+a distance of at most k = (1-t)/(1+t) * (words of both), and of the parity of their sum. For every length that a training text can have
+to fit, an evaluation text is cut into k+1 segments: single words and pairs from the rare end, the last one taking what is left (its first three words count).
+There are as many pairs as leave the last segment's first word about as rare as single words would. With at most k edits one segment stands unedited in the training text, at a position that
+k allows (|shift| + |length difference - shift| <= k). Segments and the training texts' runs of one to three words meet by
+words and length together, so a common word is no key of its own. Candidates are verified with banded dynamic programming.
 
+Lengths up to EXACT words are told apart; longer ones fall into bands that grow by a tenth, with the k of the band's longest.
 Equal word sets are one class before the join, so repeated texts cost one row; members are joined back at the end, by key.
-Frequent words stand at the far end of the order and are hardly ever emitted.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ from pyspark.sql import functions as F
 from tidewater.functions.text import strip, words
 from tidewater.session import written
 
+#: Most words of a segment that its key holds.
 _HEAD = 3
+#: Lengths up to which every length is a band of its own, and the growth of bands beyond.
+EXACT, GROWTH = 24, 1.1
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
@@ -37,26 +41,22 @@ def banded_distance(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
     big = k + 1
     if abs(la - lb) > k:
         return np.full(n, big)
-    prev = np.full((n, 2 * k + 1), big)
-    for o in range(k, 2 * k + 1):  # row 0: column j = o - k
-        if o - k <= lb:
-            prev[:, o] = o - k
-    for i in range(1, la + 1):
-        cur = np.full((n, 2 * k + 1), big)
-        for o in range(2 * k + 1):
-            j = i + o - k
-            if j < 0 or j > lb:
-                continue
-            best = np.full(n, i) if j == 0 else np.full(n, big)
-            if j > 0:
-                best = np.where(a[:, i - 1] == b[:, j - 1], prev[:, o], best)
-                if o > 0:
-                    best = np.minimum(best, cur[:, o - 1] + 1)
-            if o < 2 * k:
-                best = np.minimum(best, prev[:, o + 1] + 1)
-            cur[:, o] = np.minimum(best, big)
-        prev = cur
-    return np.minimum(prev[:, lb - la + k], big)
+    # by anti-diagonals i + j = d; cell i of a row stands at place i + 1
+    last2 = np.full((n, la + 2), big)
+    last = last2.copy()
+    last[:, 1] = 0
+    for d in range(1, la + lb + 1):
+        i = np.arange(max(0, d - lb, -((k - d) // 2)), min(la, d, (d + k) // 2) + 1)
+        cur = np.full((n, la + 2), big)
+        if len(i):
+            best = np.minimum(last[:, i], last[:, i + 1]) + 1
+            both = i[(i > 0) & (i < d)]
+            if len(both):
+                at = both - i[0]
+                best[:, at] = np.where(a[:, both - 1] == b[:, d - both - 1], np.minimum(best[:, at], last2[:, both]), best[:, at])
+            cur[:, i + 1] = np.minimum(best, big)
+        last2, last = last, cur
+    return last[:, la + 1]
 
 
 def _limits(threshold: float) -> tuple[int, int, int, int]:
@@ -90,40 +90,69 @@ def word_classes(texts: DataFrame) -> DataFrame:
 
 
 def ordered_words(classes: DataFrame) -> DataFrame:
-    """(cls, words): word hashes in the global order, rarest first. classes(cls, _w) is distinct."""
+    """(cls, words, counts): word hashes in the global order, rarest first, and how many classes hold each. classes(cls, _w) is distinct."""
     flat = classes.select("cls", F.explode("_w").alias("word"))
     counts = flat.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     placed = flat.join(counts, "word").select("cls", F.struct("n", F.xxhash64("word").alias("h")).alias("x"))
-    return placed.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"]).alias("words"))
+    return placed.groupBy("cls").agg(F.array_sort(F.collect_list("x")).alias("x")).select("cls", F.col("x.h").alias("words"), F.col("x.n").alias("counts"))
 
 
-def _edits(l: Column, num: int, den: int, rn: int, rd: int) -> Column:
-    """Most edits between a text of l words and any that it can be paired with."""
-    return F.floor((l + F.floor(l * den / num)) * rn / rd).cast("int")
+def _band(l: Column) -> Column:
+    return F.when(l <= EXACT, l).otherwise(EXACT + 1 + F.floor(F.log(l / EXACT) / F.log(F.lit(GROWTH)))).cast("int")
 
 
-def segment_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(cls_e, cls_t), distinct: classes of left and right, both (cls, words), that share at least `threshold` of their words."""
+def segments(texts: DataFrame, threshold: float, rarer: int = 4) -> DataFrame:
+    """texts(cls, words, counts) to (cls, le, pe, sig): the segments of evaluation texts, for each band of lengths they can be paired with.
+
+    The last segment starts at the word `last`, whose count is at most `rarer` times that of the word at k, where it would start behind single words.
+    """
     num, den, rn, rd = _limits(threshold)
-    k = _edits(F.size("words"), num, den, rn, rd)
-    cut = lambda i, n: F.xxhash64(F.slice("words", i + 1, n))
-    segs = F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(i.alias("pos"), cut(i, F.when(i < k, 1).otherwise(F.least(F.lit(_HEAD), F.size("words") - k))).alias("sig")))
-    e = left.select(F.col("cls").alias("cls_e"), F.size("words").alias("le"), F.inline(segs)).withColumnRenamed("pos", "pe")
-    # a segment of the longest text that fits starts at its k at most, and moves by this text's k at most
-    last = _edits(F.floor(F.size("words") * den / num), num, den, rn, rd) + k
-    none = F.array().cast("array<struct<pos:int,sig:bigint>>")
+    le, band, top, k, last, at = (F.col(c) for c in ("le", "band", "top", "k", "last", "at"))
+    out = texts.select("cls", "words", "counts", F.size("words").alias("le"))
+    out = out.withColumns({"least": F.ceil(le * num / den).cast("int"), "longest": F.floor(le * den / num).cast("int")})
+    out = out.withColumn("band", F.explode(F.sequence(_band(F.col("least")), _band(F.col("longest")))))
+    out = out.withColumn("top", F.when(band <= EXACT, band).otherwise(F.least("longest", F.ceil(EXACT * F.pow(F.lit(GROWTH), band - EXACT)).cast("int"))))
+    out = out.withColumn("k", F.floor((le + top) * rn / rd).cast("int"))
+    # edits are as many as change one length into the other, and pairs of them; a text of fewer words falls into single words
+    out = out.withColumn("k", F.least(F.when((band <= EXACT) & ((k + le + top) % 2 == 1), k - 1).otherwise(k), le - 1))
+    bound = F.col("counts")[k] * rarer
+    out = out.withColumn("bound", bound).withColumn("last", k + F.size(F.filter(F.slice("counts", k + 2, k), lambda x: x <= F.col("bound"))))
+    out = out.withColumn("at", F.explode(F.sequence(F.lit(0), k)))
+    ones = 2 * k - last
+    pe = F.when(at <= ones, at).otherwise(2 * at - ones)
+    n = F.when(at == k, _HEAD).when(at < ones, 1).otherwise(2)
+    out = out.withColumns({"pe": pe, "n": F.least(n, le - pe)})
+    return out.select("cls", "le", "pe", F.xxhash64("band", F.slice("words", F.col("pe") + 1, F.col("n"))).alias("sig"))
+
+
+def run_keys(words: str) -> Column:
+    """array<struct<pt, sig>>: the runs of one to three words of a training text, with its band of lengths."""
+    w, lt = F.col(words), F.size(words)
 
     def runs(n: int) -> Column:
-        every = F.transform(F.sequence(F.lit(0), F.least(last, F.size("words") - n)), lambda i: F.struct(i.alias("pos"), cut(i, F.lit(n)).alias("sig")))
-        return F.when(F.size("words") >= n, every).otherwise(none)
+        every = F.transform(F.sequence(F.lit(0), F.greatest(lt - n, F.lit(0))), lambda i: F.struct(i.alias("pt"), F.xxhash64(_band(lt), F.slice(w, i + 1, n)).alias("sig")))
+        return F.when(lt >= n, every).otherwise(F.array().cast("array<struct<pt:int,sig:bigint>>"))
+
+    return F.concat(*map(runs, range(1, _HEAD + 1)))
+
 
-    t = right.select(F.col("cls").alias("cls_t"), F.size("words").alias("lt"), F.inline(F.concat(*map(runs, range(1, _HEAD + 1))))).withColumnRenamed("pos", "pt")
+def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(cls_e, cls_t), distinct: classes of left (cls, words, counts) and right (cls, words), of different words, that share a segment where it may stand."""
+    num, den, rn, rd = _limits(threshold)
+    e = segments(left, threshold).withColumnRenamed("cls", "cls_e")
+    t = right.select(F.col("cls").alias("cls_t"), F.size("words").alias("lt"), F.inline(run_keys("words")))
     shift = F.col("pt") - F.col("pe")
     fits = (F.abs(shift) + F.abs(F.col("lt") - F.col("le") - shift)) * rd <= rn * (F.col("lt") + F.col("le"))
     compatible = F.least("lt", "le") * den >= F.greatest("lt", "le") * num
-    found = e.join(t, "sig").where(fits & compatible).select("cls_e", "cls_t").distinct()
+    return e.join(t, "sig").where(fits & compatible & (F.col("cls_e") != F.col("cls_t"))).select("cls_e", "cls_t").distinct()
+
+
+def segment_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(cls_e, cls_t), distinct: classes of left (cls, words, counts) and right (cls, words) that share at least `threshold` of their words."""
+    found = candidate_pairs(left, right, threshold)
     pairs = found.join(left.select(F.col("cls").alias("cls_e"), F.col("words").alias("words_e")), "cls_e").join(right.select(F.col("cls").alias("cls_t"), F.col("words").alias("words_t")), "cls_t")
-    return pairs.mapInPandas(lambda frames: verify(frames, threshold), "cls_e binary, cls_t binary")
+    near = pairs.mapInPandas(lambda frames: verify(frames, threshold), "cls_e binary, cls_t binary")
+    return near.unionByName(left.select(F.col("cls").alias("cls_e")).join(right.select(F.col("cls").alias("cls_t")), F.col("cls_e") == F.col("cls_t")))
 
 
 def cross_split_pairs(queries: DataFrame, *, threshold: float = 0.7) -> DataFrame:
@@ -137,7 +166,7 @@ def cross_split_pairs(queries: DataFrame, *, threshold: float = 0.7) -> DataFram
     rows = written(word_classes(rows).select("query_id", "train", "cls", "_w").dropDuplicates(["query_id", "train", "cls"]), "members")
     sides = rows.groupBy("cls").agg(F.max("train").alias("t"), F.max(~F.col("train")).alias("e"), F.first("_w").alias("_w"))
     classes = written(ordered_words(sides.select("cls", "_w")).join(sides.select("cls", "t", "e"), "cls"), "classes")
-    pairs = segment_pairs(classes.where("e").select("cls", "words"), classes.where("t").select("cls", "words"), threshold)
+    pairs = segment_pairs(classes.where("e").select("cls", "words", "counts"), classes.where("t").select("cls", "words"), threshold)
     e = rows.where("not train").select(F.col("cls").alias("cls_e"), F.col("query_id").alias("qe"))
     t = rows.where("train").select(F.col("cls").alias("cls_t"), F.col("query_id").alias("qt"))
     both = pairs.join(e, "cls_e").join(t, "cls_t").where("qe <> qt")
