@@ -1,7 +1,7 @@
 """The N best items of every group, by descending score bands.
 
-Scores are cut into bands at quantiles of each partition key (here: the run), narrow at the top. Bands are
-worked from the top: the rows of one band are joined against the groups that are already full (anti-join), a
+Scores are cut into bands at quantiles of each partition key (here: the run), narrow at the top. The rows are written once,
+a folder per band, so a band reads its own rows only. Bands are worked from the top: the rows of one band are joined against the groups that are already full (anti-join), a
 group's items that a higher band already gave are left out, and the rest are ranked exactly, with all ties, as equal scores
 always share a band. A group leaves as soon as it has N items, so the low rows of big groups are never deduplicated or sorted.
 
@@ -50,6 +50,7 @@ def top_n(rows: DataFrame, *, keys: tuple[str, ...], n: int = 10, bands: tuple[f
     for i in reversed(range(len(bands))):
         number = F.when(F.col("score") >= F.try_element_at("edges", F.lit(i + 1)), i).otherwise(number)
     banded = banded.select(*(F.col(f"a.{k}").alias(k) for k in keys), "item", "score", "rank", number.alias("band"))
+    banded = written(banded, "banded", by="band")
     done: DataFrame | None = None
     for band in range(len(bands) + 1):
         part = banded.where(F.col("band") == band).drop("band")
