@@ -219,14 +219,14 @@ def verified(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Da
 def latest_texts(docs: DataFrame) -> DataFrame:
     """(key, text) of each document's valid row in its highest snapshot: title, abstract and full_text as one text, nulls left out.
 
-    Only keys are aggregated; texts are read once more against them. Rows that tie in delivered_at all come out.
+    Only keys are aggregated; texts are read once more against them, and spread by key, as a snapshot's texts may lie in a few files. Rows that tie in delivered_at all come out.
     """
     names = snapshot_names(docs)
     rows = numbered(docs.select(doc_key(F.col("doc_id")).alias("key"), "snapshot_id", "delivered_at", "title", "abstract", "full_text").where("key is not null"), names)
     when = F.struct("snap_no", "delivered_at")
     best = written(rows.groupBy("key").agg(F.max(when).alias("w")).select("key", "w.snap_no", "w.delivered_at"), "latest")
     j = rows.alias("r").join(bounded(best).alias("l"), (F.col("r.key") == F.col("l.key")) & (F.col("r.snap_no") == F.col("l.snap_no")) & F.col("r.delivered_at").eqNullSafe(F.col("l.delivered_at")), "left_semi")
-    return j.select("key", F.concat_ws(" ", "title", "abstract", "full_text").alias("text"))
+    return j.select("key", F.concat_ws(" ", "title", "abstract", "full_text").alias("text")).repartition("key")
 
 
 def _crowd_links(crowds: DataFrame, members: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
