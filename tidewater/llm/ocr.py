@@ -2,13 +2,18 @@
 
 1. A lexicon of word counts over all clean texts (titles, abstracts, unscanned full texts), folded in each task before the shuffle.
 2. Scanned texts are cut into lines: page furniture, text lines, words that go on in the next text line.
-3. Words that the lexicon doesn't hold look for corrections in a symmetric-delete index: both sides are reduced to a skeleton in
-   which confusable shapes are one, and meet if their skeletons agree up to one deletion on either side. A weighted edit distance,
-   cheap for confusion pairs, ranks the candidates; where several stay close, counts of neighbouring words decide.
-4. Furniture goes, broken words are joined, misread words replaced, lines flow into paragraphs.
-
-Only a bounded set of the most frequent words (known for certain) travels to the workers, to skip them early; everything else is
-decided in joins with the whole lexicon. No step gathers more than one document's lines in one place.
+3. Words that the lexicon doesn't hold look for corrections in a symmetric-delete index: a suspect and a printed word meet if they agree up to
+   one deletion on either side, as they are read or as skeletons, in which confusable shapes are one. A weighted edit distance ranks
+   the candidates: a confusion pair costs CONFUSED, any other edit 1. Confusions alone make a repair below REPAIR; where several candidates stay
+   close, counts of neighbouring words decide. One edit beside confusions (below EDITED) makes a repair only if the corpus speaks for it: the
+   printed word stands between the same two neighbours in clean texts, is far more frequent than what was read, and differs from it
+   by more than an ending.
+4. What no candidate explains but can't have been printed (digits and signs inside words) is put into its plain form: a fallback by pattern.
+5. Furniture goes, broken words are joined, misread words replaced, lines flow into paragraphs.
+
+Whether a text was scanned is told from several signals: sentences that go on over line ends, words broken at them, page furniture between
+lines, odd characters in words. A bounded set of the most frequent words (known for certain) travels to the workers, to skip them early; everything
+else is decided in joins with the whole lexicon. No step gathers more than one document's lines in one place.
 """
 
 from __future__ import annotations
@@ -30,10 +35,10 @@ from tidewater.session import bounded, written
 KNOWN_WORDS = 50_000
 #: What is printed, and what is read instead.
 CONFUSIONS = (("e", "c"), ("t", "f"), ("s", "5"), ("a", "ä"), ("o", "0"), ("i", "!"), ("l", "1"), ("n", "ri"), ("m", "rn"), ("d", "cl"), ("u", "ii"), ("g", "9"), ("w", "vv"), ("h", "li"), ("b", "6"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("cl", "d"), ("rn", "m"))
-#: Cost of a confusion; any other edit costs 1. A repair must stay under REPAIR.
-CONFUSED, REPAIR = 0.2, 1.0
-#: Lines of scanned text are no longer than this.
-PAGE_WIDTH = 100
+#: Cost of a confusion; any other edit costs 1. A repair by confusions must stay under REPAIR, one with an edit under EDITED.
+CONFUSED, REPAIR, EDITED = 0.2, 1.0, 1.5
+#: A repair with an edit: least length of the word, times that the printed word is more frequent, characters at the end that may be an ending.
+EDIT_LENGTH, EDIT_RATIO, ENDING = 6, 20, 3
 _HYPHENS = "-‐¬\xad"
 _BITS = 20
 
@@ -106,16 +111,28 @@ def lines_of(text: str) -> list[str]:
     return [x.replace("\r", "").replace("\f", "") for x in text.split("\n")]
 
 
-def is_scanned(text: str | None) -> bool:
-    """Whether a text is set in narrow lines throughout: at least four, none longer than a page is wide, most of them full."""
-    if not text:
+def is_scanned(text: str | None, title: str | None = None) -> bool:
+    """Whether a text was read from pages: at least two signs of it, one of them at line ends. An author's line breaks alone are none.
+
+    Signs: sentences go on over at least a fifth of the line ends (two at least); a word is broken at a line end; there is page furniture; a word holds odd characters.
+    """
+    if not text or "\n" not in text:
         return False
-    lines = [x.rstrip() for x in lines_of(text) if x.strip()]
-    if len(lines) < 4:
+    lines = [x.strip() for x in lines_of(text) if x.strip()]
+    flows = breaks = 0
+    for x, y in zip(lines, lines[1:]):
+        if x[-1] in _HYPHENS and x[-2:-1].isalnum() and y[0].isalnum():
+            breaks += 1
+        elif y[0].islower() and x[-1] not in ".?!":
+            flows += 1
+    flowing = flows >= 2 and flows * 5 >= len(lines) - 1
+    if not flowing and not breaks:
         return False
-    lengths = [len(x) for x in lines]
-    width = max(lengths)
-    return 25 <= width < PAGE_WIDTH and sum(n > 0.6 * width for n in lengths) * 2 >= len(lengths)
+    if flowing and breaks:
+        return True
+    if any(is_furniture(x, title) for x in lines):
+        return True
+    return any(_strong(w.lower()) for x in lines for _, _, w in tokens_of(x))
 
 
 def _letters(s: str) -> str:
@@ -151,7 +168,7 @@ def is_furniture(line: str, title: str | None) -> bool:
         return True
     core = _TAIL.sub("", _FRONT.sub("", s)).strip()
     marked = core != s
-    if _title_like(core, title or "untitled note"):
+    if _title_like(core, title or ""):
         return True
     words = re.findall(r"[^\W\d_][^\s]*", core)
     if len(words) < 2 or core[-1:] in ".,;:?":
@@ -184,7 +201,7 @@ def analyse(text: str, title: str | None, known: set[str]) -> list[tuple]:
     """Rows (line_no, kind, a, b, line2, cut, prev, next) of a scanned text; tokens that are known for certain are left out.
 
     furniture; split with the joined word a and, after a plain hyphen, the compound b; token a, which a break may spread over
-    line_no and line2, `cut` characters being on the first.
+    line_no and line2, `cut` characters being on the first, and, after a plain hyphen, the compound b that it may be.
     """
     lines, marks = analysed_lines(text, title)
     rows: list[tuple] = [(i + 1, "furniture", None, None, None, None, None, None) for i, f in enumerate(marks) if f]
@@ -215,10 +232,7 @@ def analyse(text: str, title: str | None, known: set[str]) -> list[tuple]:
         for k, (w, l1, l2, cut, part, rest, h) in enumerate(words):
             letters = any(c.isalpha() for c in w)
             if w not in known and (letters or ("!" in w and len(w) > 1)):
-                if h == "-" and part in known and rest in known:
-                    pass  # a compound broken at its own hyphen
-                else:
-                    rows.append((l1, "token", w, None, l2, cut, words[k - 1][0] if k else before, words[k + 1][0] if k + 1 < len(words) else ""))
+                rows.append((l1, "token", w, f"{part}-{rest}" if h == "-" else None, l2, cut, words[k - 1][0] if k else before, words[k + 1][0] if k + 1 < len(words) else ""))
         if words:
             before = words[-1][0]
     return rows
@@ -243,15 +257,21 @@ def _strong(word: str) -> str | None:
 _ENDINGS = (("", ""), ("s", ""), ("es", ""), ("ies", "y"))
 
 
+def index_keys(word: str) -> set[str]:
+    """Deletes of the word as it is read (of EDIT_LENGTH letters at least) and of its skeleton."""
+    keys = {f"~{k}" for k in deletes(skeleton(word))}
+    return keys | deletes(word) if len(word) >= EDIT_LENGTH else keys
+
+
 def index_rows(frames: Iterator[pd.DataFrame], lexicon: bool) -> Iterator[pd.DataFrame]:
-    """(word[, n]) to (word, base, ending, extra, key) or (word, key, n): deletes of the skeletons.
+    """(word[, n]) to (word, base, ending, extra, key) or (word, key, n): keys of the index.
 
     Suspects are also looked up without a plural ending; `extra` is what reading that ending cost.
     """
     for pdf in frames:
         out: list[tuple] = []
         if lexicon:
-            out = [(w, k, n) for w, n in zip(pdf["word"], pdf["n"]) for k in deletes(skeleton(w))]
+            out = [(w, k, n) for w, n in zip(pdf["word"], pdf["n"]) for k in index_keys(w)]
             yield pd.DataFrame(out, columns=["word", "key", "n"])
             continue
         for w in pdf["word"]:
@@ -261,19 +281,30 @@ def index_rows(frames: Iterator[pd.DataFrame], lexicon: bool) -> Iterator[pd.Dat
                     continue
                 base = w[: len(w) - len(cut)] + put
                 extra = CONFUSED * sum(x != y for x, y in zip(read, cut))
-                out += [(w, base, cut, extra, k) for k in deletes(skeleton(base))]
+                out += [(w, base, cut, extra, k) for k in index_keys(base)]
         yield pd.DataFrame(out, columns=["word", "base", "ending", "extra", "key"])
 
 
+def _other_ending(a: str, b: str) -> bool:
+    """Whether two words differ in their last characters only, as forms of a word do."""
+    same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return same >= min(len(a), len(b)) - ENDING
+
+
 def ranked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(word, base, ending, extra, printed, n) to candidates under the limit: (word, fix, cost, n, bit)."""
+    """(word, base, ending, extra, printed, n) to candidates under their limits: (word, fix, cost, n, bit)."""
     for pdf in frames:
         out = []
         for r in pdf.itertuples(index=False):
             cost = confusion_distance(r.printed, r.base) + r.extra
-            if cost < REPAIR:
-                fix = r.printed + r.ending if r.ending != "ies" else r.printed[:-1] + "ies"
-                out.append((r.word, fix, cost, r.n, zlib.crc32(r.printed.encode()) >> (32 - _BITS)))
+            if cost >= REPAIR:
+                if r.ending or len(r.base) < EDIT_LENGTH or len(r.printed) < EDIT_LENGTH or _other_ending(r.printed, r.base):
+                    continue
+                cost = confusion_distance(r.printed, r.base, EDITED)
+                if cost >= EDITED:
+                    continue
+            fix = r.printed + r.ending if r.ending != "ies" else r.printed[:-1] + "ies"
+            out.append((r.word, fix, cost, r.n, zlib.crc32(r.printed.encode()) >> (32 - _BITS)))
         yield pd.DataFrame(out, columns=["word", "fix", "cost", "n", "bit"])
 
 
@@ -300,7 +331,7 @@ def lexicon_of(rows: DataFrame) -> DataFrame:
         c: Counter = Counter()
         for pdf in frames:
             for title, abstract, full in zip(pdf["title"], pdf["abstract"], pdf["full_text"]):
-                for t in (title, abstract, None if is_scanned(full) else full):
+                for t in (title, abstract, None if is_scanned(full, title) else full):
                     if t:
                         t = t.lower()
                         c.update(_WORD.findall(t))
@@ -336,7 +367,7 @@ def neighbour_counts(rows: DataFrame, bits: DataFrame) -> DataFrame:
         for pdf in frames:
             c: Counter = Counter()
             for title, abstract, full in zip(pdf["title"], pdf["abstract"], pdf["full_text"]):
-                for t in (title, abstract, None if is_scanned(full) else full):
+                for t in (title, abstract, None if is_scanned(full, title) else full):
                     if t:
                         w = _WORD.findall(t.lower())
                         c.update(p for p in zip(w, w[1:]) if wanted(p[0]) or wanted(p[1]))
@@ -358,14 +389,15 @@ class Repair:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = set(sent.value.split("\n"))
             for pdf in frames:
-                out = [(s, d, *x) for s, d, title, text in zip(pdf["version"], pdf["doc_id"], pdf["title"], pdf["full_text"]) if is_scanned(text) for x in analyse(text, title, known)]
+                out = [(s, d, *x) for s, d, title, text in zip(pdf["version"], pdf["doc_id"], pdf["title"], pdf["full_text"]) if is_scanned(text, title) for x in analyse(text, title, known)]
                 got = pd.DataFrame(out, columns=[c.split()[0] for c in _ROWS.split(", ")])
                 yield got.astype({"line2": "Int64", "cut": "Int32"})
 
         texts = self.rows.where("full_text is not null").select("version", "doc_id", "title", "full_text")
         self.found = written(texts.mapInPandas(run, _ROWS), "found")
+        self.tokens = self._tokens()
         self.splits = self._splits()
-        self.fixes = self._fixes()
+        self._fixes()
 
     def _splits(self) -> DataFrame:
         """Broken words; a compound that was broken at its own hyphen is none."""
@@ -375,33 +407,51 @@ class Repair:
         kept = asked.where(F.col("nb").isNull() | (F.coalesce("na", F.lit(0)) >= F.col("nb")))
         return plain.unionByName(kept.select(*plain.columns))
 
-    def _fixes(self) -> DataFrame:
-        """(word, prev, next, fix): repairs of words, chosen by cost, then by their neighbours, then by frequency."""
-        tokens = self.found.where("kind = 'token'").select(F.col("a").alias("word"), "prev", "next")
-        suspects = written(tokens.select("word").distinct().join(self.lexicon, "word", "left_anti"), "suspects")
+    def _tokens(self) -> DataFrame:
+        """Words to look at: all but compounds broken at their own hyphen, whose parts the lexicon holds."""
+        t = self.found.where("kind = 'token'").select("version", "doc_id", "line_no", F.col("a").alias("word"), "b", "line2", "cut", "prev", "next")
+        asked = t.where("b is not null").withColumns({"part": F.substring_index("b", "-", 1), "rest": F.substring_index("b", "-", -1)})
+        known = self.lexicon.select("word")
+        asked = asked.join(known.select(F.col("word").alias("part"), F.lit(True).alias("p")), "part", "left").join(known.select(F.col("word").alias("rest"), F.lit(True).alias("r")), "rest", "left")
+        broken = asked.where("p is null or r is null").select(*t.columns)
+        return written(t.where("b is null").unionByName(broken).drop("b"), "tokens")
+
+    def _fixes(self) -> None:
+        """certain(word, fix, path) and by_context(word, prev, next, fix, path): repairs of words, chosen by cost, then by their neighbours, then by frequency."""
+        tokens = self.tokens.select("word", "prev", "next")
+        suspects = written(tokens.groupBy("word").agg(F.count(F.lit(1)).alias("times")).join(self.lexicon.select("word"), "word", "left_anti"), "suspects")
         left = suspects.mapInPandas(lambda f: index_rows(f, False), "word string, base string, ending string, extra double, key string")
         right = self.lexicon.where(~F.col("word").contains("-")).mapInPandas(lambda f: index_rows(f, True), "word string, key string, n long")
         met = left.join(right.select("key", F.col("word").alias("printed"), "n"), "key").select("word", "base", "ending", "extra", "printed", "n").distinct()
         near = written(met.mapInPandas(ranked, "word string, fix string, cost double, n long, bit int"), "near")
-        best = near.groupBy("word").agg(F.min("cost").alias("least"), F.max("n").alias("most"))
+        best = near.groupBy("word").agg(F.min("cost").alias("least"))
         near = near.join(best, "word").where(F.col("cost") <= F.col("least") + 0.05)
         # a word that is a known one with an ending is none to repair, nor is a new one made of parts that recur
-        near = near.where("least > 0").join(self._composed(near.select("word").distinct()), "word", "left_anti")
+        near = written(near.where("least > 0").join(self._composed(near.select("word").distinct()), "word", "left_anti"), "ranked")
+        edited = near.where(F.col("least") >= REPAIR).join(suspects, "word").where(F.col("n") >= EDIT_RATIO * F.col("times"))
+        near = near.where(F.col("least") < REPAIR)
         several = near.groupBy("word").agg(F.countDistinct("fix").alias("k")).where("k > 1").select("word")
-        single = near.join(several, "word", "left_anti").select("word", "fix").distinct()
-        strong = suspects.join(best.select("word"), "word", "left_anti")
-        plain = strong.mapInPandas(_plain, "word string, fix string")
+        single = near.join(several, "word", "left_anti").select("word", "fix", F.lit("confusion").alias("path")).distinct()
+        # words that confusions explain (or an ending) aren't put into a plain form
+        explained = best.where(F.col("least") < REPAIR).select("word")
+        plain = suspects.join(explained, "word", "left_anti").mapInPandas(_plain, "word string, fix string").withColumn("path", F.lit("pattern"))
         self.certain = written(single.unionByName(plain), "fixes")
-        unsure = written(near.join(several, "word", "left_semi").select("word", "fix", "n", "bit").distinct(), "unsure")
+        asked = near.join(several, "word", "left_semi").select("word", "fix", "n", "bit", F.lit("context").alias("path"))
+        asked = asked.unionByName(edited.join(plain.select("word"), "word", "left_anti").select("word", "fix", "n", "bit", F.lit("edit").alias("path")))
+        unsure = written(asked.distinct(), "unsure")
+        self.by_context = None
         if unsure.isEmpty():
-            self.by_context = None
-            return self.certain
+            return
         pairs = written(neighbour_counts(self.rows, unsure.select("bit")), "pairs")
         asked = tokens.join(unsure.select("word").distinct(), "word", "left_semi").distinct().join(unsure, "word")
         seen = asked.join(pairs.select(F.col("first").alias("prev"), F.col("second").alias("fix"), F.col("n").alias("n1")), ["prev", "fix"], "left").join(pairs.select(F.col("first").alias("fix"), F.col("second").alias("next"), F.col("n").alias("n2")), ["fix", "next"], "left")
+        seen = seen.where("path <> 'edit' or (n1 > 0 and n2 > 0)")
         score = F.struct(F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0)), F.col("n"), F.col("fix"))
-        self.by_context = written(seen.groupBy("word", "prev", "next").agg(F.max_by("fix", score).alias("fix")), "context")
-        return self.certain
+        self.by_context = written(seen.groupBy("word", "prev", "next", "path").agg(F.max_by("fix", score).alias("fix")), "context")
+
+    def paths(self) -> DataFrame:
+        """(path, n_words, n_places): misread words and their places by what repaired them: confusion, context, edit (all through the index), pattern."""
+        return self.misread().groupBy("path").agg(F.countDistinct("word").alias("n_words"), F.count(F.lit(1)).alias("n_places"))
 
     def _composed(self, suspects: DataFrame, head: int = 3, tail: int = 4) -> DataFrame:
         """Of suspects(word), those that fall into two parts that known words are made of.
@@ -420,11 +470,10 @@ class Repair:
         return cuts(suspects).join(heads, "head", "left_semi").join(tails, "tail", "left_semi").select("word").distinct()
 
     def misread(self) -> DataFrame:
-        """(version, doc_id, line_no, word, fix, line2, cut) of every misread word."""
-        tokens = self.found.where("kind = 'token'").select("version", "doc_id", "line_no", F.col("a").alias("word"), "line2", "cut", "prev", "next")
-        out = tokens.join(self.certain, "word").drop("prev", "next")
+        """(version, doc_id, line_no, word, fix, line2, cut, path) of every misread word."""
+        out = self.tokens.join(self.certain, "word").drop("prev", "next")
         if self.by_context is not None:
-            out = out.unionByName(tokens.join(self.by_context, ["word", "prev", "next"]).drop("prev", "next"))
+            out = out.unionByName(self.tokens.join(self.by_context, ["word", "prev", "next"]).drop("prev", "next"))
         return out
 
     def lines(self) -> DataFrame:
@@ -497,7 +546,7 @@ def _repaired(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         out = []
         for s, d, title, text, acts in zip(pdf["version"], pdf["doc_id"], pdf["title"], pdf["full_text"], pdf["acts"]):
-            if is_scanned(text):
+            if is_scanned(text, title):
                 acts = list(acts) if acts is not None else []
                 text = repaired(text, title, {a["line_no"] for a in acts if a["k"] == "s"}, {a["w"]: a["fix"] for a in acts if a["k"] == "m"})
             out.append((s, d, text))
