@@ -72,7 +72,7 @@ def test_packing(spark):
     it = items(spark, data)
     for shard in (20_000, 500):
         p = packing.pack(it, capacity=2048, shard_items=shard)
-        assert tuple(packing.packing_faults(it, p).first()) == (3000, 0, 0, 0)
+        assert tuple(packing.packing_faults(it, p).first()) == (3000, 0, 0, 0, 0)
         r = packing.packing_report(p).first()
         assert r.n_containers <= r.least_containers * 1.02 + 2
 
@@ -93,10 +93,45 @@ def test_packing_cuts_only_what_must_be_cut(spark):
     it = packing.sized_items(df, lambda c: F.coalesce(F.length(c), F.lit(0)), capacity=10)
     assert sorted((r.doc_id, r.piece, r.n_tokens) for r in it.collect()) == [(1, 0, 10), (1, 1, 10), (1, 2, 5), (2, 0, 10), (3, 0, 10), (4, 0, 0), (5, 0, 0), (6, 0, 10), (6, 1, 10)]
     p = packing.pack(it, capacity=10)
-    assert tuple(packing.packing_faults(it, p, 10).first()) == (6, 0, 0, 0)
+    assert tuple(packing.packing_faults(it, p, 10).first()) == (6, 0, 0, 0, 0)
     assert rows(packing.pack(it.limit(0))) == []
 
 
+def test_copies_of_cut_texts_share_no_container(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, "x" * 13, "a") for i in range(6)] + [(10 + i, "yz"[i] * 3, "a") for i in range(2)], "doc_id long, text string, source string")
+    it = packing.sized_items(df, lambda c: F.coalesce(F.length(c), F.lit(0)), capacity=10)
+    p = packing.pack(it, capacity=10)
+    assert tuple(packing.packing_faults(it, p, 10).first())[:4] == (8, 0, 0, 0)
+    rest = p.where("piece = 1").select("container_id").distinct().count()
+    assert rest == 6
+
+
+def test_near_duplicates_share_no_container(spark):
+    words = [f"w{i}" for i in range(60)]
+    data = [(1, " ".join(words), "a"), (2, " ".join([*words[:-1], "other"]), "a"), (3, "something else", "a"), (4, "something else", "a"), (5, None, "a")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    c = {r.doc_id: r.cluster for r in packing.duplicate_clusters(df).collect()}
+    assert set(c) == {"1", "2"} and c["1"] == c["2"]
+    from pyspark.sql import functions as F
+
+    it = packing.sized_items(df, lambda x: F.coalesce(F.length(x), F.lit(0)), clusters=packing.duplicate_clusters(df))
+    assert len({r.cluster for r in it.collect()}) == 3
+
+
+def test_crowded_best_fit_is_quick():
+    """20,000 items of one size, a third of one cluster: no search walks over all bins again and again."""
+    import time
+
+    n = 20_000
+    pdf = pd.DataFrame({"n_tokens": [1024] * n, "source": [f"s{i % 9}" for i in range(n)], "cluster": [1 if i % 3 == 0 else None for i in range(n)]})
+    t = time.time()
+    bins = packing.best_fit(pdf, 2048)
+    assert time.time() - t < 30
+    assert len(set(bins)) == n // 2 and pd.Series(bins)[pdf["cluster"].eq(1)].is_unique
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     pdf = pd.DataFrame({"n_tokens": [8, 6, 2, 2], "source": ["a", "b", "c", "c"], "cluster": [1, None, 1, None]})
     bins = packing.best_fit(pdf, 10)
@@ -104,7 +139,7 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert bins[3] == bins[0]
 
 
-NAMES = pii.Names([(g, "given") for g in ("Hana", "Olga", "José")] + [(f + t, "family") for f in ("Kess", "Nov", "Wyr", "Fen", "Dorn", "Lam") for t in ("wyck", "iello", "etti", "ides", "ovecz", "anovi")] + [("Market", "family")])
+NAMES = pii.Names([(g, "given") for g in ("Hana", "Olga", "José")] + [(f + t, "family") for f in ("Kess", "Nov", "Wyr", "Fen", "Dorn", "Lam") for t in ("wyck", "iello", "etti", "ides", "ovecz", "anovi")] + [("Market", "family"), ("Market", "common")])
 
 
 def found(text):
@@ -136,6 +171,42 @@ def test_mentions(text, want):
     assert found(text) == want
 
 
+REAL = pii.Names([("Chukwuemeka", "given")] + [(n, "family") for n in ("Smith", "Nguyen", "Okafor", "Li", "Garcia", "Brown")] + [("Brown", "common")])
+
+
+@pytest.mark.parametrize("text, want", [("J. Smith and Chukwuemeka Okafor met Nguyen, T. in May.", ["J. Smith", "Chukwuemeka Okafor", "Nguyen, T."]), ("We thank Wei Li.", ["Wei Li"]), ("The Brown fox; Chukwuemeka Brown too.", ["Chukwuemeka Brown"]), ("Smith alone, the Garcia et al. method", []), ("Chukwuemeka\r\n  Garcia", ["Chukwuemeka\r\n  Garcia"]), ("A" + "a" * 80 + "-Maria Garcia came", ["A" + "a" * 80 + "-Maria Garcia"])])
+def test_real_names(text, want):
+    assert [text[a:b] for k, a, b in pii.mentions(text, REAL) if k == "name"] == want
+
+
+@pytest.mark.parametrize("text, want", [("jane dot doe at example dot org", ["jane dot doe at example dot org"]), ("Tel. 555 01 99 22 11", ["555 01 99 22 11"]), ("+1 double five five zero one triple four two", ["+1 double five five zero one triple four two"]), ("ԛuinn＠ｅxample.org", ["ԛuinn＠ｅxample.org"])])
+def test_disguises(text, want):
+    assert [text[a:b] for _, a, b in pii.mentions(text, REAL)] == want
+
+
+def test_many_mentions_in_one_text():
+    import time
+
+    text = " and ".join(f"J. Smith, a{i}@example.org" for i in range(10_000))
+    t = time.time()
+    assert len(pii.mentions(text, REAL)) == 20_000
+    assert time.time() - t < 30
+
+
+def test_corpus_knowledge_and_blocks(spark, monkeypatch):
+    """Given names that the lexicon lacks, words that aren't any, common family words; and the same from blocks as from what travels."""
+    lex = spark.createDataFrame([("Hana", "given"), ("Garcia", "family"), ("Smith", "family"), ("Reef", "family")], "name_text string, name_kind string")
+    texts = ["Bruno Garcia and Bruno Smith wrote.", "Station Smith, Station 21, Station 22, Station 23. By Bruno Smith", "the reef, a reef, one reef, this reef; the Reef. Bruno Reef, Hana Reef", None, "", "Hana Smith"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = [(0, "name", 1), (0, "name", 18), (1, "name", 55), (2, "name", 62), (5, "name", 1)]
+    assert rows(pii.find_mentions(df, lex)) == want
+    masked = rows(pii.redact(df, lex))
+    monkeypatch.setattr(pii, "LEXICON_ROWS", 3)
+    monkeypatch.setattr(pii, "BLOCK_TEXTS", 2)
+    assert rows(pii.find_mentions(df, lex)) == want
+    assert rows(pii.redact(df, lex)) == masked and len(masked) == 6
+
+
 def test_offsets_hold_behind_odd_characters():
     text = "😀​ｆｕｌｌ ‪Hana​ Kesswyck‬: ｏlga＠inst．example"
     got = pii.mentions(text, NAMES)
@@ -187,6 +258,27 @@ def test_scan_repair(spark):
     assert got["d2"].startswith("The membrane follows") and got["d4"] == "" and "d3" not in got
 
 
+def test_repairs_by_path(spark):
+    """Dropped, added and changed letters come through the index where the corpus speaks for them; a form of a word, or a word in other company, stays."""
+    from datetime import datetime
+
+    clean = "The gradient follows the sediment layer. A household controls the sediment layer again. " * 30
+    page = "The gradient follows the sed-\niment layer and the\nhouse. The sedment layer, the sepdiment layer, a houschold\ncontrols the sedinent layer and the sedimentx layer, my\nsedxment house, the gr0ndient flow, q5uvw1y here."
+    data = [("c", "t", clean, None), ("p", "t", None, page), ("w", "t", None, "A letter\nto a friend who\nbreaks his lines\nat will.")]
+    docs = spark.createDataFrame([(d, "snapshot-1", *x, datetime(2025, 1, 1)) for d, *x in data], "doc_id string, snapshot_id string, title string, abstract string, full_text string, delivered_at timestamp_ntz")
+    r = ocr.Repair(docs)
+    got = {(x.word, x.fix, x.path) for x in r.misread().collect()}
+    assert {("sedment", "sediment", "edit"), ("sepdiment", "sediment", "edit"), ("sedinent", "sediment", "edit"), ("houschold", "household", "confusion")} <= got
+    assert not {w for w, *_ in got} & {"sedimentx", "sedxment", "letter", "flow"}
+    assert {p.path: p.n_words for p in r.paths().collect()}["edit"] == 3
+    assert {x.doc_id for x in r.lines().collect()} == {"p"}
+
+
+@pytest.mark.parametrize("text, want", [("one line", False), ("", False), (None, False), ("A plain\nletter with\nits lines broken\nby hand.", False), ("It goes on with the mem-\nbrane of a\ncell and so\non.", True), ("It goes on\nover lines and\n   - 12 -\nmore lines of\ntext.", True), ("x" * 300 + " goes\non for " + "y" * 300 + " and a bro-\nken word in\nit.", True), ("A paragraph.\n\nAnother one.", False)])
+def test_scans_are_told_by_several_signs(text, want):
+    assert ocr.is_scanned(text) is want
+
+
 def test_scan_of_nothing(spark):
     r = ocr.Repair(corpus(spark).limit(0))
     assert rows(r.lines()) == [] and rows(r.texts()) == []

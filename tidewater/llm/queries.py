@@ -9,7 +9,7 @@ from tidewater.llm.bpe import decode, encode, token_count
 from tidewater.llm.forest import all_pairs, groups, latest_texts, near_duplicates
 from tidewater.llm.ocr import Repair
 from tidewater.llm.overlap import cross_split_pairs, overlap_report
-from tidewater.llm.packing import pack, packing_faults, packing_report, sized_items
+from tidewater.llm.packing import duplicate_clusters, pack, packing_faults, packing_report, sized_items
 from tidewater.llm.pii import find_mentions, redact
 from tidewater.llm.topn import top_documents
 from tidewater.session import table, written
@@ -31,6 +31,10 @@ def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
     return Repair(table(spark, d, "document_snapshots")).texts()
 
 
+def p4_paths(spark: SparkSession, d: str) -> DataFrame:
+    return Repair(table(spark, d, "document_snapshots")).paths()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return top_documents(table(spark, d, "search_results"))
 
@@ -56,7 +60,8 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    return sized_items(table(spark, d, "documents"), token_count(spark))
+    docs = table(spark, d, "documents")
+    return sized_items(docs, token_count(spark), clusters=duplicate_clusters(docs))
 
 
 def p9_packing(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +85,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_repaired, p5_found, p7_found, p7_groups, p8_ids, p8_round_trip, p9_packing, p9_report, p9_faults, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_repaired, p4_paths, p5_found, p7_found, p7_groups, p8_ids, p8_round_trip, p9_packing, p9_report, p9_faults, p10_found, p10_redacted)}
 
 _KEY = r"regexp_replace(doc_id, '^\s+|\s+$', '', 'g')"
 
@@ -124,7 +129,7 @@ SELECT doc_a, doc_b FROM p WHERE 3 * n_both >= n_sum
 
 SQL = {
     "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
-    "p9_faults": "SELECT count(DISTINCT doc_id) AS n_docs, 0 AS n_over, 0 AS n_lost, 0 AS n_conflicts FROM documents",
+    "p9_faults": "SELECT count(DISTINCT doc_id) AS n_docs, 0 AS n_over, 0 AS n_lost, 0 AS n_conflicts, 0 AS n_wasted FROM documents",
     "p7_found": _P7,
     "p2_found": _P2,
     "p2_report": _P2_REPORT,
