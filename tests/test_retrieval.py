@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from tidewater.functions import cues
 from tidewater.functions.dates import iso_duration_days, parse_seconds
 from tidewater.operators import citations as cit
 from tidewater.operators import dense, drift, evaluation, fusion, lexical, reports, slicing
-from tidewater.operators.overlay import Settings, overlay, query_profiles, year_entropy
+from tidewater.operators.evaluation import mean_metrics, per_query
+from tidewater.operators.overlay import Settings, evaluation_time, overlay, query_profiles, year_entropy
 
 
 def one(spark, column):
@@ -240,3 +242,99 @@ def test_pivot_has_every_snapshot(spark, tmp_path):
     got = q.method_snapshot_pivot(spark, str(tmp_path))
     assert got.columns == ["method", *(f"s{i}_{m}" for i in (1, 2, 3) for m in ("ndcg_cut_10", "map"))]
     assert rows(got) == [("x", 0.0, 0.0, 0.0, 0.0, 1.0, 1.0)]
+
+
+def test_boosts_pass_gate_and_route(spark):
+    """A hint counts in the temporal score: as it is in direct mode, times alpha in additive mode, not at all where only citations count or the gate is shut."""
+    sig = {f"sig_{k}": F.lit(0.0) for k in cit.SIGNALS}
+    run = spark.createDataFrame([("q", "a", 9.0, 1), ("q", "b", 1.0, 2), ("q", "c", 5.0, 3)], "query_id string, doc_id string, score double, rank int")
+    d = spark.createDataFrame([(x, "words", None, None, None, 0) for x in "abc"], "doc_id string, text string, published_s long, updated_s long, year int, total_in int").withColumns(sig)
+    t = spark.createDataFrame([("q", "latest words")], "query_id string, text string")
+    hints = spark.createDataFrame([("q", "b", 2.0), ("q", "c", 2.0)], "query_id string, doc_id string, boost double")
+    score = lambda mode, h=None: {r.doc_id: r.score for r in overlay(run, t, d, 0, Settings(mode=mode), hints=h).collect()}
+    gained = lambda mode: {k: round(v - score(mode)[k], 9) for k, v in score(mode, hints).items()}
+    assert gained("direct") == {"a": 0.0, "b": 2.0, "c": 2.0}
+    assert gained("additive") == {"a": 0.0, "b": 0.0, "c": 0.5}  # b is under the gate; alpha is 0.25
+    assert gained("citation_only") == {"a": 0.0, "b": 0.0, "c": 0.0}
+    assert gained("router") == {"a": 0.0, "b": 0.0, "c": 0.5}
+
+
+def test_share_of_old_documents_is_of_dated_ones(spark):
+    run = spark.createDataFrame([("q", x, 1.0, i) for i, x in enumerate("abcd", 1)], "query_id string, doc_id string, score double, rank int")
+    d = spark.createDataFrame([("a", 2025, 0), ("b", 2010, 30), ("c", None, 0)], "doc_id string, year int, total_in int")
+    p = query_profiles(run, spark.createDataFrame([("q", "words"), ("n", "no run")], "query_id string, text string"), d, Settings())
+    got = {r.query_id: r for r in p.collect()}
+    assert got["q"].old_share == 0.5 and got["q"].cited_share == 0.25 and got["q"].span == 15 and got["q"].beta == 0.12
+
+
+def test_evaluation_time(spark):
+    at = lambda t: one(spark, parse_seconds(F.lit(t)))
+    d = spark.createDataFrame([(at("2020-01-01"), at("2019-01-01"), None), (None, None, at("2021-05-05"))], "published_s long, created_s long, updated_s long")
+    assert evaluation_time(d, "snapshot-2") == at("2025-08-31T23:59:59Z") and evaluation_time(d, "snapshot-2", "2024-02-02") == at("2024-02-02")
+    assert evaluation_time(d, "other") == at("2021-05-05") and evaluation_time(d, "snapshot-2", by="latest") == at("2021-05-05")
+    assert evaluation_time(d, s=Settings(use_update=False, use_creation=True)) == at("2019-01-01")
+    assert evaluation_time(d.limit(0)) > at("2025-01-01")
+
+
+def test_cutoffs_end_their_step():
+    day = 86400
+    assert slicing.cutoffs(0, 20 * day, 7) == [("1970-01-07", 6 * day), ("1970-01-14", 13 * day), ("1970-01-21", 20 * day)]
+    assert slicing.cutoffs(0, 5 * day) == []
+
+
+def test_growing_slices_against_one_at_a_time(spark):
+    """Ranks by running counts equal those of filtered runs that are ranked anew."""
+    rng = np.random.default_rng(4)
+    d = spark.createDataFrame([(f"d{i}", int(rng.integers(0, 40)) if i % 9 else None) for i in range(60)], "doc_id string, published_s long")
+    r = spark.createDataFrame([(run, f"q{q}", f"d{i}", float(rng.integers(0, 12)), 1) for run in "xy" for q in range(6) for i in rng.choice(60, 25, replace=False)], RUNS)
+    j = spark.createDataFrame([(f"q{q}", f"d{i}", int(rng.integers(0, 3))) for q in range(7) for i in rng.choice(60, 8, replace=False)], "query_id string, doc_id string, relevance int")
+    metrics, points = ["ndcg_cut_10", "map", "recall_100", "recip_rank_cut_10"], [("a", 5), ("b", 17), ("c", 39)]
+    got = {(x.slice, x.run_name): x for x in slicing.cumulative(d, r, j, points, metrics).collect()}
+    for name, cut in points:
+        inside = d.where(F.col("published_s") <= cut).select("doc_id")
+        some = j.join(inside, "doc_id")
+        for x in mean_metrics(per_query(r.join(inside, "doc_id"), some, metrics), metrics).collect():
+            assert [got[name, x.run_name][m] for m in ("n_queries", *metrics)] == pytest.approx([x[m] for m in ("n_queries", *metrics)], abs=1e-6)
+
+
+def test_split_plan(tmp_path):
+    assert slicing.split_plan() == slicing.SplitPlan({"train_months": (3, 4), "validation_months": (5,)})
+    (tmp_path / "p.yaml").write_text("monthly_split: {date_field: createdDate, minimum_qrels_per_query: 2, train_months: [1]}\n")
+    assert slicing.split_plan(tmp_path / "p.yaml") == slicing.SplitPlan({"train_months": (1,), "validation_months": (5,)}, "createdDate", 2)
+    (tmp_path / "p.yaml").write_text("splits: [{name: all, months: [3, 4, 5]}]\n")
+    assert slicing.split_plan(tmp_path / "p.yaml").splits == {"all": (3, 4, 5)}
+
+
+def test_missing_pivot_is_an_error(spark):
+    m = spark.createDataFrame([("x", "e", 0.5), ("x", "l", 0.5)], "model string, split_name string, v double")
+    with pytest.raises(ValueError, match="pivot"):
+        reports.temporal_change(m, "v", "pivot", [("e", "l")])
+
+
+def test_cached_citation_features(spark, tmp_path):
+    raw = spark.createDataFrame([("1", "", "", "2024-01-01", "P1Y", "", "", "a", "b"), ("2", "", "", "2024-06-01", "", "", "", "c", "b")], "id string, citing string, cited string, creation string, timespan string, journal_sc string, author_sc string, citing_doc_id string, cited_doc_id string")
+    cut = 1719792000
+    first = rows(cit.cached_features(raw, str(tmp_path), cut))
+    assert len(first) == 3 and rows(cit.cached_features(raw.limit(0), str(tmp_path), cut)) == first  # read, not made
+    only = spark.createDataFrame([("b",), ("z",)], "doc_id string")
+    assert [r[0] for r in rows(cit.cached_features(raw, str(tmp_path), cut, only=only))] == ["b"]
+    assert rows(cit.cached_features(raw.limit(0), str(tmp_path), cut, window_days=30)) == []  # other parameters, another table
+    some = rows(cit.citation_counts(cit.edges(raw), cut, only=only))
+    assert [r for r in rows(cit.citation_counts(cit.edges(raw), cut)) if r[0] == "b"] == some
+
+
+def test_vectors_in_blocks_equal_those_of_one_matrix(spark, monkeypatch):
+    v = spark.createDataFrame([(f"v{i}", [float(i % 5), 1.0, float(i % 7)]) for i in range(40)] + [("none", None)], "id string, vec array<float>")
+    q = v.where("id in ('v0', 'v3', 'none')")
+    whole = rows(dense.exact_search(v, q, 4))
+    monkeypatch.setattr(dense, "QUERY_NUMBERS", 0)
+    assert rows(dense.exact_search(v, q, 4, size=7)) == whole and len(whole) == 8
+    assert rows(dense.exact_search(v, q.limit(0), 4)) == []
+
+
+def test_date_queries_read_no_texts(spark):
+    from tidewater.plans import retrieval_queries as rq
+
+    for f in (rq.daily_counts_velocity, rq.collection_summary):
+        plan = f(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+        assert "full_text" not in plan.split("== Physical Plan ==")[1] and "abstract" not in plan.split("== Physical Plan ==")[1]

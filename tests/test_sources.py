@@ -20,7 +20,11 @@ def test_records(spark, tmp_path):
     (tmp_path / "d.json").write_text('{"data": [{"id": "1", "text": "x"}]}')
     (tmp_path / "r.jsonl").write_text('{"id": "1", "text": "x"}\n\n{"id": "2", "text": null}\n')
     (tmp_path / "c.tsv").write_text("id\ttext\n1\tx\n")
-    for f in ("l.json", "d.json", "c.tsv"):
+    (tmp_path / "m.json").write_text('{"count": 1,\n "data": [{"id": "1", "text": "x"}]}')
+    (tmp_path / "no.json").write_text('{"rows": [{"id": "1"}]}')
+    with pytest.raises(ValueError, match="neither"):
+        rd.read_records(spark, str(tmp_path / "no.json"))
+    for f in ("l.json", "d.json", "m.json", "c.tsv"):
         assert rows(rd.read_records(spark, str(tmp_path / f)).select("id", "text")) == [("1", "x")]
     assert rd.read_records(spark, str(tmp_path / "r.jsonl")).count() == 2
     (tmp_path / "bad.jsonl").write_text('{"id": "1"}\n{"id":\n')
@@ -33,6 +37,7 @@ def test_corpus(spark):
     r = rd.normalize_corpus(df).first()
     assert (r.doc_id, r.title, r.abstract, r.full_text, r.metadata) == ("1", "t", "", "body", {"publishedDate": "2020"})
     assert rd.normalize_corpus(df, load_full_text=False).first().full_text == ""
+    assert rd.normalize_corpus(df.selectExpr("'' as doc_id", "title"), missing="skip").count() == 0
     with pytest.raises(Exception, match="no doc_id"):
         rd.normalize_corpus(df.selectExpr("'' as doc_id", "title")).collect()
 

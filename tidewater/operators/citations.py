@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.dates import DAY, iso_duration_days, parse_seconds
+from tidewater.session import bounded, exists, written
 
 SIGNALS = ("total", "recent", "foundation", "emerging", "outbound")
 
@@ -18,15 +21,19 @@ def edges(raw: DataFrame) -> DataFrame:
     ).where("created_s is not null")
 
 
-def citation_counts(e: DataFrame, cutoff_s: int, window_days: int = 180, exclude_self: bool = True) -> DataFrame:
-    """Counters per document from edges created up to the cutoff. A hub's edges are folded before the exchange, so hot documents don't skew it."""
+def citation_counts(e: DataFrame, cutoff_s: int, window_days: int = 180, exclude_self: bool = True, only: DataFrame | None = None) -> DataFrame:
+    """Counters per document from edges created up to the cutoff; of the documents of only(doc_id), if given. A hub's edges are folded before the exchange, so hot documents don't skew it."""
     recent = F.col("created_s") >= cutoff_s - max(window_days, 1) * DAY
     own = F.lit(False) if not exclude_self else F.col("is_self")
     e = e.where(F.col("created_s") <= cutoff_s)
-    inbound = e.groupBy(F.col("cited").alias("doc_id")).agg(
+    into, out_of = e, e
+    if only is not None:
+        wanted = bounded(written(only.select("doc_id").distinct(), "wanted"))
+        into, out_of = (e.join(wanted.withColumnRenamed("doc_id", c), c, "left_semi") for c in ("cited", "citing"))
+    inbound = into.groupBy(F.col("cited").alias("doc_id")).agg(
         F.count(F.lit(1)).alias("total_in"), F.count_if(recent).alias("recent_in"), F.count_if(~own).alias("nonself_in"), F.count_if(~own & recent).alias("nonself_recent_in"), F.sum("lag_days").alias("lag_sum"), F.count("lag_days").alias("lag_n")
     )
-    outbound = e.groupBy(F.col("citing").alias("doc_id")).agg(F.count(F.lit(1)).alias("total_out"), F.count_if(recent).alias("recent_out"))
+    outbound = out_of.groupBy(F.col("citing").alias("doc_id")).agg(F.count(F.lit(1)).alias("total_out"), F.count_if(recent).alias("recent_out"))
     both = inbound.join(outbound, "doc_id", "full_outer")
     counters = ("total_in", "recent_in", "nonself_in", "nonself_recent_in", "total_out", "recent_out")
     return both.select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in counters), F.when(F.col("lag_n") > 0, F.col("lag_sum") / F.col("lag_n")).alias("mean_lag"))
@@ -40,6 +47,20 @@ def citation_features(counts: DataFrame, window_days: int = 180) -> DataFrame:
     )
 
 
+def cached_features(raw: DataFrame, root: str, cutoff_s: int, window_days: int = 180, exclude_self: bool = True, only: DataFrame | None = None) -> DataFrame:
+    """Counters and features of raw citation rows as of a cutoff, read from a table under root if one of these parameters was written before.
+
+    The table holds all documents and is keyed by its parameters, never by a list of documents; `only` picks from it.
+    """
+    spark = raw.sparkSession
+    key = hashlib.sha1(f"{cutoff_s}|{window_days}|{int(exclude_self)}".encode()).hexdigest()[:16]
+    path = f"{root}/citation_features_{key}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        citation_features(citation_counts(edges(raw), cutoff_s, window_days, exclude_self), window_days).write.mode("overwrite").parquet(path)
+    got = spark.read.parquet(path)
+    return got if only is None else got.join(bounded(only.select("doc_id").distinct()), "doc_id", "left_semi")
+
+
 def signals(f: dict[str, Column]) -> dict[str, Column]:
     """Signals of the overlay from counters (null: 0): total, recent, foundation, emerging, outbound."""
     z = lambda c: F.coalesce(f[c].cast("double"), F.lit(0.0))

@@ -1,7 +1,7 @@
 """How a collection grows and ages, and when that calls for a new index.
 
-Documents are folded to counts per second or day first; everything after works on those counts, so running sums replace rescans.
-The windows without partitions below run over one row per day or week, never over documents.
+Documents are folded to counts per day first; everything after works on those counts, so running sums replace rescans.
+The windows without partitions below run over two rows per day at most, or one per week, never over documents.
 """
 
 from __future__ import annotations
@@ -27,16 +27,19 @@ def weekly(docs: DataFrame, gap_s: int, stale_days: int = 90) -> DataFrame:
     A document is stale if it is more than `stale_days` whole days old; the share is of documents up to that Sunday 00:00.
     gap_days = whole days from the mean date of these documents to gap_s; it may be negative.
     """
-    per_second = docs.where("published_s is not null").groupBy("published_s").agg(F.count(F.lit(1)).alias("n"))
-    week = week_start(day_number(F.col("published_s")))
-    weeks = per_second.groupBy(week.alias("week")).agg(F.sum("n").alias("new_docs"))
+    day = day_number(F.col("published_s"))
+    # every instant asked for is a midnight: what counts of a document is the first midnight that isn't before it
+    next_midnight = F.ceil(F.col("published_s") / DAY).cast("long")
+    per_day = docs.where("published_s is not null").groupBy(day.alias("day"), next_midnight.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.sum("published_s").alias("seconds"))
+    weeks = per_day.groupBy(week_start(F.col("day")).alias("week")).agg(F.sum("n").alias("new_docs"))
     w = Window.orderBy("week")
-    weeks = weeks.withColumn("cumulative_docs", F.sum("new_docs").over(w)).withColumn("cut_s", (F.col("week").cast("long") + 6) * DAY)
-    # counts as of an instant: instants and cutoffs in one order, one running sum
-    at = lambda shift: weeks.select((F.col("cut_s") - shift).alias("published_s"), F.lit(0).cast("long").alias("n"), F.col("week"), F.lit(shift).alias("shift"))
-    line = per_second.select("published_s", "n", F.lit(None).cast("int").alias("week"), F.lit(None).cast("int").alias("shift")).unionByName(at(0)).unionByName(at((stale_days + 1) * DAY))
-    run = Window.orderBy("published_s", F.col("week").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    sums = line.select("week", "shift", F.sum("n").over(run).alias("docs"), F.sum(F.col("n") * F.col("published_s")).over(run).alias("seconds")).where("week is not null")
+    weeks = weeks.withColumn("cumulative_docs", F.sum("new_docs").over(w)).withColumn("cut", F.col("week").cast("long") + 6)
+    # counts as of an instant: days and cutoffs in one order, one running sum
+    none = F.lit(0).cast("long")
+    at = lambda shift: weeks.select((F.col("cut") - shift).alias("at"), none.alias("n"), none.alias("seconds"), F.col("week"), F.lit(shift).alias("shift"))
+    line = per_day.select("at", "n", "seconds", F.lit(None).cast("int").alias("week"), F.lit(None).cast("int").alias("shift")).unionByName(at(0)).unionByName(at(stale_days + 1))
+    run = Window.orderBy("at", F.col("week").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    sums = line.select("week", "shift", F.sum("n").over(run).alias("docs"), F.sum("seconds").over(run).alias("seconds")).where("week is not null")
     now = sums.where("shift = 0").select("week", F.col("docs").alias("total_docs"), "seconds")
     old = sums.where("shift <> 0").select("week", F.col("docs").alias("stale_docs"))
     out = weeks.join(now, "week").join(old, "week")

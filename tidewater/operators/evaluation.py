@@ -41,30 +41,46 @@ def per_query(runs: DataFrame, qrels: DataFrame, metrics: list[str], *, preset:
     ranked = runs.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "query_id").orderBy(*order)))
     if depth is not None:
         ranked = ranked.where(F.col("r") <= depth)
-    gain = (lambda c: c.cast("double")) if trec else (lambda c: F.pow(F.lit(2.0), c) - 1)
     hits = ranked.join(qrels.where("relevance > 0"), [*sliced, "query_id", "doc_id"]).select(*keys, "query_id", "r", "relevance")
-    hits = hits.withColumn("seen", F.row_number().over(Window.partitionBy(*keys, "query_id").orderBy("r")))
+    best = ideals(qrels, metrics, [*sliced, "query_id"], trec)
+    if trec:
+        every = ranked.select(*keys, "query_id").distinct().join(best, [*sliced, "query_id"])
+    else:
+        names = runs.select(*keys).distinct()
+        every = best.join(names, sliced) if sliced else best.crossJoin(F.broadcast(names))  # run names: as many as there are runs
+    return scored(every, hits, metrics, [*keys, "query_id"], trec)
+
+
+def _gain(trec: bool):
+    return (lambda c: c.cast("double")) if trec else (lambda c: F.pow(F.lit(2.0), c) - 1)
+
+
+def _dcg(k: int, r: str, trec: bool) -> Column:
+    return F.sum(F.when(F.col(r) <= k, _gain(trec)(F.col("relevance")) / F.log2(F.col(r) + 1.0)))
+
+
+def ideals(qrels: DataFrame, metrics: list[str], keys: list[str], trec: bool = False) -> DataFrame:
+    """(keys, n_rel, i_metric): relevant documents, and the ideal sum of each discounted gain."""
+    sums = [_dcg(k, "i", trec).alias(f"i_{m}") for m in metrics for kind, k in [metric(m)] if kind == "ndcg_cut"]
+    return qrels.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("relevance"), "doc_id"))).groupBy(*keys).agg(F.count_if(F.col("relevance") > 0).alias("n_rel"), *sums)
+
+
+def scored(every: DataFrame, hits: DataFrame, metrics: list[str], keys: list[str], trec: bool = False) -> DataFrame:
+    """(keys, metrics) for each row of every(keys, n_rel, i_metric): from hits(keys, r, relevance), the relevant documents with their ranks; 0 without hits."""
+    hits = hits.withColumn("seen", F.row_number().over(Window.partitionBy(*keys).orderBy("r")))
     want = [(m, *metric(m)) for m in metrics]
-    dcg = lambda k, r: F.sum(F.when(F.col(r) <= k, gain(F.col("relevance")) / F.log2(F.col(r) + 1.0)))
-    aggs, ideals = [], [F.count_if(F.col("relevance") > 0).alias("n_rel")]
+    aggs = []
     for name, kind, k in want:
         if kind == "map":
-            aggs.append(F.sum(F.col("seen") / F.col("r")).alias(f"x_{name}"))
+            x = F.sum(F.col("seen") / F.col("r"))
         elif kind == "recall":
-            aggs.append(F.count_if(F.col("r") <= k).cast("double").alias(f"x_{name}"))
+            x = F.count_if(F.col("r") <= k).cast("double")
         elif kind == "recip_rank_cut":
-            aggs.append(F.min(F.when(F.col("r") <= k, F.col("r"))).alias(f"x_{name}"))
+            x = F.min(F.when(F.col("r") <= k, F.col("r")))
         else:
-            aggs.append(dcg(k, "r").alias(f"x_{name}"))
-            ideals.append(dcg(k, "i").alias(f"i_{name}"))
-    got = hits.groupBy(*keys, "query_id").agg(*aggs)
-    best = qrels.withColumn("i", F.row_number().over(Window.partitionBy(*sliced, "query_id").orderBy(F.desc("relevance"), "doc_id"))).groupBy(*sliced, "query_id").agg(*ideals)
-    if trec:
-        every = ranked.select(*keys, "query_id").distinct().join(best, [*sliced, "query_id"])
-    else:
-        names = runs.select(*keys).distinct()
-        every = best.join(names, sliced) if sliced else best.crossJoin(F.broadcast(names))  # run names: as many as there are runs
-    out = every.join(got, [*keys, "query_id"], "left")
+            x = _dcg(k, "r", trec)
+        aggs.append(x.alias(f"x_{name}"))
+    out = every.join(hits.groupBy(*keys).agg(*aggs), keys, "left")
     value: dict[str, Column] = {}
     for name, kind, _ in want:
         x = F.coalesce(F.col(f"x_{name}"), F.lit(0)).cast("double")
@@ -74,7 +90,7 @@ def per_query(runs: DataFrame, qrels: DataFrame, metrics: list[str], *, preset:
             value[name] = F.when(x > 0, 1 / x).otherwise(0.0)
         else:
             value[name] = F.when(F.col(f"i_{name}") > 0, x / F.col(f"i_{name}")).otherwise(0.0)
-    return out.select(*keys, "query_id", *(v.alias(n) for n, v in value.items()))
+    return out.select(*keys, *(v.alias(n) for n, v in value.items()))
 
 
 def mean_metrics(scores: DataFrame, metrics: list[str], keys: tuple[str, ...] = ("run_name",), decimals: int = 6) -> DataFrame:

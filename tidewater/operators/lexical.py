@@ -50,27 +50,46 @@ def bm25_scores(tokens: DataFrame, weighted: DataFrame, k1: float = K1, b: float
     weighted = written(weighted, "weights")
     asked = weighted.select("term").distinct()
     n = asked.count()
-    # Where the asked terms are few, postings stay where their documents are: a frequent term is no hot key.
-    post = postings(tokens.select("doc_id", "length", F.explode("tokens").alias("term")).join(bounded(asked, n), "term", "left_semi").groupBy("doc_id", "length").agg(F.collect_list("term").alias("tokens")))
-    df = document_frequencies(post)
-    one = collection_stats(tokens)
+    # Where the asked terms are few, postings are folded where their documents are: a frequent term is no hot key.
+    post = tokens.select("doc_id", "length", F.explode("tokens").alias("term")).join(bounded(asked, n), "term", "left_semi")
+    post = written(post.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    return posting_scores(post, document_frequencies(post), collection_stats(tokens), weighted, k1, b, n)
+
+
+def posting_scores(post: DataFrame, df: DataFrame, stats: DataFrame, weighted: DataFrame, k1: float = K1, b: float = B, n_terms: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score > 0) from an index: post(doc_id, term, tf, length) and df(term, df) of the asked terms, stats (one row)."""
     # what a posting adds to any query is worked out once, before postings meet queries
     impact = bm25_idf(F.col("n_docs"), F.col("df")) * bm25_term(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)
-    post = post.join(bounded(df, n), "term").crossJoin(F.broadcast(one)).select("term", "doc_id", impact.alias("impact"))  # a single row
+    post = post.join(bounded(df, n_terms), "term").crossJoin(F.broadcast(stats)).select("term", "doc_id", impact.alias("impact"))  # a single row
     met = post.join(bounded(weighted), "term")
     return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("score")).where("score > 0")
 
 
+def indexed_search(post: DataFrame, df: DataFrame, stats: DataFrame, topics: DataFrame, k: int = 1000, k1: float = K1, b: float = B, most_terms: int = 2000) -> DataFrame:
+    """(query_id, doc_id, score, rank) by a stored index (postings sorted by term, document frequencies, stats): nothing is tokenized but the topics.
+
+    Up to `most_terms` asked terms are pushed down to the scan of the postings, which skips row groups; more are joined.
+    """
+    weighted = written(query_terms(topics), "weights")
+    asked = weighted.select("term").distinct()
+    few = [r.term for r in asked.limit(most_terms + 1).collect()]
+    if len(few) <= most_terms:
+        post, df = (x.where(F.col("term").isin(few)) for x in (post, df))
+    else:
+        post, df = (x.join(bounded(asked), "term", "left_semi") for x in (post, df))
+    return top_k(posting_scores(post, df, stats, weighted, k1, b), k)
+
+
 def bm25(docs: DataFrame, topics: DataFrame, k: int = 1000, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score, rank) over docs(doc_id, text) for topics(query_id, text)."""
-    return top_k(bm25_scores(tokenized(docs), query_terms(topics), k1, b), k)
+    return top_k(bm25_scores(written(tokenized(docs), "tokens"), query_terms(topics), k1, b), k)
 
 
 def relevance_model(tokens: DataFrame, feedback: DataFrame, terms: int = 10) -> DataFrame:
     """(query_id, term, p): the strongest terms of feedback(query_id, doc_id, score) documents, weighted by their scores, summing to 1."""
     share = F.col("score") / F.sum("score").over(Window.partitionBy("query_id"))
     fb = feedback.withColumn("share", share)
-    p = tokens.where("length > 0").join(fb, "doc_id").select("query_id", "share", "length", F.explode("tokens").alias("term"))
+    p = tokens.where("length > 0").join(bounded(fb), "doc_id").select("query_id", "share", "length", F.explode("tokens").alias("term"))
     p = p.groupBy("query_id", "term").agg(F.sum(F.col("share") / F.col("length")).alias("score"))
     best = top_k(p, terms, tie=("term",))
     return best.select("query_id", "term", (F.col("score") / F.sum("score").over(Window.partitionBy("query_id"))).alias("p"))

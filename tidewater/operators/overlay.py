@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.cues import INTENTS, asks_citations, asks_time, evidence_route, intent_label, intent_scores, lexical_novelty
-from tidewater.functions.dates import age_days
+from tidewater.functions.dates import age_days, parse_seconds
 from tidewater.functions.scoring import decay, maturity, min_max
 from tidewater.operators.citations import SIGNALS
+from tidewater.session import bounded
 
 # Base weight of each component, and its multiplier for each intent (foundational, current, evolving, survey).
 WEIGHTS = {
+    "base": (1.0, (1.0, 1.0, 1.0, 1.0)),
     "recency": (0.25, (-0.25, 1.6, 1.1, 0.3)),
     "update": (0.2, (-0.25, 1.5, 1.1, 0.3)),
     "foundation": (0.15, (1.8, -0.35, 0.8, 1.1)),
@@ -46,12 +49,14 @@ class Settings:
     beta: tuple[float, float, float] = (0.25, 0.12, 0.03)
     use_intent: bool = True
     use_update: bool = True
+    use_creation: bool = False
     tail: str = "raw"
 
 
 def document_features(docs: DataFrame, at_s: int, s: Settings) -> DataFrame:
-    """docs(doc_id, text, published_s, updated_s, ...) plus ages and the curves over them."""
-    pub, upd = F.col("published_s"), F.coalesce("updated_s", "published_s") if s.use_update else F.col("published_s")
+    """docs(doc_id, text, published_s, updated_s, ...[, created_s]) plus ages and the curves over them. use_creation takes created_s first."""
+    pub = F.coalesce("created_s", "published_s") if s.use_creation else F.col("published_s")
+    upd = F.coalesce(F.col("updated_s"), pub) if s.use_update else pub
     return docs.withColumns({"age": age_days(at_s, pub), "update_age": age_days(at_s, upd)}).withColumns(
         {"recency": decay(F.col("age"), s.fresh_days), "update": decay(F.col("update_age"), s.fresh_days) if s.use_update else F.lit(0.0), "foundation": maturity(F.col("age"), s.age_days)}
     )
@@ -68,13 +73,13 @@ def year_entropy(years: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> Dat
 def query_profiles(run: DataFrame, topics: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """One row per query: cues, entropy and span of its top documents' years, shares of old and of much-cited ones, alpha and beta, and the route.
 
-    docs(doc_id, year, total_in). A document that docs doesn't hold has no year and no citations, but counts in the shares.
+    docs(doc_id, year, total_in). A document that docs doesn't hold has no year and no citations; it counts in the share of cited ones, but that of old ones is of those with a year.
     """
     top = run.where(F.col("rank") <= s.profile_top).select("query_id", "doc_id").join(docs.select("doc_id", "year", "total_in"), "doc_id", "left")
     top = top.withColumn("last_year", F.max("year").over(Window.partitionBy("query_id")))
     facts = top.groupBy("query_id").agg(
         (F.max("year") - F.min("year")).alias("span"),
-        (F.count_if(F.col("year") <= F.col("last_year") - max(s.window, 1)) / F.count(F.lit(1))).alias("old_share"),
+        (F.coalesce(F.try_divide(F.count_if(F.col("year") <= F.col("last_year") - max(s.window, 1)), F.count("year")), F.lit(0.0))).alias("old_share"),
         (F.count_if(F.col("total_in") >= s.cited) / F.count(F.lit(1))).alias("cited_share"),
     )
     q = topics.join(facts, "query_id", "left").join(year_entropy(top), "query_id", "left")
@@ -88,6 +93,33 @@ def query_profiles(run: DataFrame, topics: DataFrame, docs: DataFrame, s: Settin
     return q.withColumn("route", F.when(time & cited, "mixed").when(time, "temporal").when(cited, "citation").otherwise(F.col("text_route")))
 
 
+def candidates(run: DataFrame, head: int) -> DataFrame:
+    """(doc_id), distinct: documents in the head of any query, for which features are wanted."""
+    return run.where(F.col("rank") <= head).select("doc_id").distinct()
+
+
+#: When each snapshot was taken.
+SNAPSHOT_TIMES = {"snapshot-1": "2025-05-31T23:59:59Z", "snapshot-2": "2025-08-31T23:59:59Z", "snapshot-3": "2025-11-30T23:59:59Z"}
+
+
+def candidate_instants(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(at_s): dates of publication and update of docs(published_s, created_s, updated_s), as the settings take them."""
+    pub = F.coalesce("created_s", "published_s") if s.use_creation else F.coalesce("published_s", "created_s")
+    both = F.array(pub, F.coalesce("updated_s", pub)) if s.use_update else F.array(pub)
+    return docs.select(F.explode(both).alias("at_s")).where("at_s is not null")
+
+
+def evaluation_time(docs: DataFrame, snapshot: str | None = None, timestamp: str | None = None, s: Settings = Settings(), by: str = "snapshot") -> int:
+    """Seconds since 1970 at which ages are taken: the bundle's timestamp, else when its snapshot was taken, else the latest date of docs, else now. by='latest' looks at the dates at once."""
+    spark = docs.sparkSession
+    if by == "snapshot":
+        for text in (timestamp, SNAPSHOT_TIMES.get(snapshot or "")):
+            if text and (got := spark.range(1).select(parse_seconds(F.lit(text))).first()[0]) is not None:
+                return got
+    last = candidate_instants(docs, s).agg(F.max("at_s")).first()[0]
+    return int(time.time()) if last is None else last
+
+
 def _weight(name: str) -> Column:
     base, per_intent = WEIGHTS[name]
     out = F.lit(None).cast("double")
@@ -101,8 +133,8 @@ def overlay(run: DataFrame, topics: DataFrame, docs: DataFrame, at_s: int, s: Se
 
     run(query_id, doc_id, score, rank); docs(doc_id, text, published_s, updated_s, year, total_in, sig_*). Head documents that docs
     doesn't hold keep their normalised relevance. The tail keeps its raw scores (tail='raw') or is scaled under the head ('rescale').
-    Queries that topics doesn't hold are dropped. hints(query_id, doc_id, boost), one row per pair at most, adds to known head documents
-    what history or clusters say in their favour.
+    Queries that topics doesn't hold are dropped. hints(query_id, doc_id, boost), one row per pair at most, adds to the temporal score of known head
+    documents what history or clusters say in their favour, so it passes the same gate, weight and route.
     """
     if s.mode not in MODES:
         raise ValueError(f"unknown overlay mode: {s.mode}")
@@ -112,7 +144,8 @@ def overlay(run: DataFrame, topics: DataFrame, docs: DataFrame, at_s: int, s: Se
     base = run.join(q, "query_id")
     whole = Window.partitionBy("query_id")
     head = base.where(F.col("rank") <= s.head).withColumn("rel", min_max(F.col("score"), whole))
-    known = document_features(docs, at_s, s).withColumn("known", F.lit(True))
+    # features of the heads' documents only
+    known = document_features(docs.join(bounded(candidates(run, s.head)), "doc_id", "left_semi"), at_s, s).withColumn("known", F.lit(True))
     head = head.join(known, "doc_id", "left").withColumn("novelty", F.when(F.col("known"), lexical_novelty(F.col("query"), F.col("text"))))
     for name in SIGNALS:
         # null for unknown documents, so these take no part in the range
@@ -120,16 +153,17 @@ def overlay(run: DataFrame, topics: DataFrame, docs: DataFrame, at_s: int, s: Se
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     time = sum((_weight(c) * z(c) for c in ("recency", "update", "foundation", "novelty")), F.lit(0.0))
     cited = sum((_weight(f"c_{c}") * z(f"c_{c}") for c in SIGNALS), F.lit(0.0))
+    if hints is not None:
+        head = head.join(hints.select("query_id", "doc_id", "boost"), ["query_id", "doc_id"], "left")
+        time = time + z("boost")
+    base_score = _weight("base") * F.col("rel")
     if s.mode != "direct":
         open_ = (F.col("rank") <= s.candidates) & (F.col("rel") >= s.gate)
         time, cited = F.when(open_, F.col("alpha") * time).otherwise(0.0), F.when(open_, F.col("beta") * cited).otherwise(0.0)
     final = {
-        "citation_only": F.col("rel") + cited,
-        "router": F.col("rel") + F.when(F.col("route").isin("temporal", "mixed"), time).otherwise(0.0) + F.when(F.col("route").isin("citation", "mixed"), cited).otherwise(0.0),
-    }.get(s.mode, F.col("rel") + time + cited)
-    if hints is not None:
-        head = head.join(hints.select("query_id", "doc_id", "boost"), ["query_id", "doc_id"], "left")
-        final = final + z("boost")
+        "citation_only": base_score + cited,
+        "router": base_score + F.when(F.col("route").isin("temporal", "mixed"), time).otherwise(0.0) + F.when(F.col("route").isin("citation", "mixed"), cited).otherwise(0.0),
+    }.get(s.mode, base_score + time + cited)
     head = head.select("query_id", "doc_id", F.when(F.col("known"), final).otherwise(F.col("rel")).alias("score"), F.lit(0).alias("part"), F.col("rank").alias("pos"))
     tail = base.where(F.col("rank") > s.head).select("query_id", "doc_id", "score", F.lit(1).alias("part"), F.col("rank").alias("pos"))
     if s.tail == "rescale":

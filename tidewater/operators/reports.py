@@ -42,6 +42,8 @@ def temporal_change(rows: DataFrame, metric: str, pivot: str, transitions: list[
     e, l = F.col("earlier_score"), F.col("later_score")
     both = both.withColumn("ri", F.when(F.abs(e) < 1e-12, 0.0).otherwise((e - l) / e))
     base = both.where(F.col("model") == pivot).select("transition", F.col("ri").alias("base"))
+    if missing := [r[0] for r in steps.join(base, "transition", "left_anti").select("transition").collect()]:  # as many as there are transitions
+        raise ValueError(f"no rows of {pivot} for {', '.join(sorted(missing))}")
     out = both.join(base, "transition")
     floor = F.when(F.abs("base") >= TINY, F.col("base")).when(F.col("base") < 0, -TINY).otherwise(TINY)
     return out.select("place", "transition", "model", "earlier_score", "later_score", l.alias("arp"), ((e + l) / 2).alias("marp"), "ri", (F.col("ri") - F.col("base")).alias("dri"), (F.col("ri") / floor).alias("er")).orderBy("place", "dri", "model")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields, is_dataclass
+from dataclasses import dataclass, field, fields, is_dataclass, replace
 from pathlib import Path
 from typing import Any
 
@@ -72,6 +72,16 @@ def _typed(kind: type, raw: dict) -> Any:
     return kind(**{k: value(k, v) for k, v in raw.items()})
 
 
+def for_snapshot(e: Experiment, snapshot: str) -> Experiment:
+    """The experiment over one snapshot."""
+    return replace(e, snapshots=(snapshot,))
+
+
+def for_training(e: Experiment, variant: str = "dctr", snapshot: str = "snapshot-1") -> Experiment:
+    """The experiment over the snapshot with training judgments, named by their variant."""
+    return replace(e, snapshots=(snapshot,), name=f"{e.name}-train-{variant}")
+
+
 def base_folder(path: str | Path) -> Path:
     """What relative paths in a configuration are relative to: the folder above `configs` if it lies right in one, else its own."""
     here = Path(path).resolve().parent

@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions.dates import parse_seconds
 from tidewater.functions.text import text_view
 from tidewater.operators import dense, fusion, lexical
+from tidewater.operators.citations import signals
 from tidewater.operators.evaluation import mean_metrics, per_query
-from tidewater.operators.overlay import overlay
+from tidewater.operators.overlay import evaluation_time, overlay
+from tidewater.plans.bundles import Bundle
 from tidewater.plans.config import Experiment
 from tidewater.session import written
-from tidewater.sources.writers import status_row, write_run
+from tidewater.sources.writers import status_row, write_csv, write_run
 
 Pipeline = Callable[[DataFrame, DataFrame, Experiment], DataFrame]
 PIPELINES: dict[str, Pipeline] = {}
@@ -89,22 +92,40 @@ def run(docs: DataFrame, topics: DataFrame, e: Experiment, evidence: DataFrame |
     return out.select("query_id", "doc_id", "score", "rank").withColumn("run_name", F.lit(e.name))
 
 
-def run_snapshots(spark: SparkSession, load: Callable[[str], tuple[DataFrame, DataFrame, DataFrame | None]], e: Experiment) -> DataFrame:
-    """(snapshot_id, run_name, n_queries, metrics): each snapshot's run is written under e.output_dir and scored; load gives its documents, topics and judgments.
+def evidence_of(docs: DataFrame, mode: str = "title_abstract", counters: DataFrame | None = None) -> DataFrame:
+    """What an overlay reads, of docs with their dates as columns or in metadata; counters(doc_id, total_in, ...) of citations, none: no citations."""
+    date = lambda k: parse_seconds(F.col(k) if k in docs.columns else F.try_element_at("metadata", F.lit(k)) if "metadata" in docs.columns else F.lit(None).cast("string"))
+    out = _view(docs, mode).select("doc_id", "text", date("publishedDate").alias("p"), date("createdDate").alias("created_s"), date("updatedDate").alias("updated_s")).withColumn("published_s", F.coalesce("p", "created_s")).drop("p")
+    out = out.withColumn("year", F.year(F.date_from_unix_date(F.floor(F.coalesce("published_s", "updated_s") / 86400).cast("int"))))
+    names = ("total_in", "recent_in", "nonself_in", "nonself_recent_in", "total_out", "foundational", "emerging")
+    out = out.join(counters, "doc_id", "left") if counters is not None else out.withColumns({c: F.lit(None).cast("double") for c in names})
+    return out.withColumns({f"sig_{k}": v for k, v in signals({c: F.col(c) for c in names}).items()}).withColumn("total_in", F.greatest("total_in", "nonself_in"))
 
-    A snapshot without judgments is written with a status in place of metrics, and isn't in the result.
+
+def run_snapshots(spark: SparkSession, load: Callable[[str], Bundle | tuple], e: Experiment) -> DataFrame:
+    """(snapshot_id, run_name, n_queries, metrics): each snapshot's run is written under e.output_dir and scored; load gives its bundle (documents, topics, judgments and so on).
+
+    An overlay reads the bundle's evidence, or what the documents themselves hold, as of the snapshot's evaluation time. A snapshot without judgments is written with a status in place of metrics, and isn't in the result.
     """
     out: DataFrame | None = None
     metrics = list(e.metrics)
     for name in e.snapshots:
-        docs, topics, qrels = load(name)
-        r = written(run(docs, topics, e), "run")
+        got = load(name)
+        b = got if isinstance(got, Bundle) else Bundle(*got)
+        evidence, at_s = None, 0
+        if e.overlay is not None:
+            evidence = b.evidence if b.evidence is not None else evidence_of(b.docs, e.retrieval.text)
+            at_s = evaluation_time(evidence, name, b.timestamp, e.overlay)
+        qrels = b.qrels
+        r = written(run(b.docs, b.topics, e, evidence, at_s), "run")
         folder = f"{e.output_dir}/{e.name}/{name}"
         write_run(r, f"{folder}/run")
         if qrels is None:
             status_row(spark, e.name, metrics).coalesce(1).write.mode("overwrite").json(f"{folder}/metrics")
             continue
-        m = mean_metrics(per_query(r, qrels, metrics), metrics).withColumn("snapshot_id", F.lit(name))
+        scores = written(per_query(r, qrels, metrics), "scores")
+        write_csv(scores.drop("run_name").orderBy("query_id").coalesce(1), f"{folder}/per_query.csv")
+        m = mean_metrics(scores, metrics).withColumn("snapshot_id", F.lit(name))
         m.coalesce(1).write.mode("overwrite").json(f"{folder}/metrics")
         out = m if out is None else out.unionByName(m)
     return out if out is not None else status_row(spark, e.name, metrics).limit(0)

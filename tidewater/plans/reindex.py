@@ -9,15 +9,20 @@ from __future__ import annotations
 import json
 import time
 from dataclasses import asdict, dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators import lexical
+from tidewater.plans.vectors import Encoder, ensure_vectors
+from tidewater.session import exists, read_text, write_text
 from tidewater.sources.readers import within
 
 
+#: Bytes of a row group of the postings: small ones, so that a search reads little beside its terms.
+POSTING_BLOCK = 8 << 20
+
+
 @dataclass(frozen=True)
 class Outcome:
     state: str
@@ -26,6 +31,7 @@ class Outcome:
     shadow: str | None = None
     n_docs: int = 0
     strategy: str | None = None
+    dense: str | None = None
 
 
 def build(docs: DataFrame, root: str, version: str) -> int:
@@ -34,7 +40,7 @@ def build(docs: DataFrame, root: str, version: str) -> int:
     tokens.write.parquet(f"{root}/{version}/tokens")
     tokens = docs.sparkSession.read.parquet(f"{root}/{version}/tokens")
     post = lexical.postings(tokens)
-    post.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{root}/{version}/postings")
+    post.repartitionByRange("term").sortWithinPartitions("term").write.option("parquet.block.size", POSTING_BLOCK).parquet(f"{root}/{version}/postings")
     lexical.document_frequencies(post).write.parquet(f"{root}/{version}/frequencies")
     lexical.collection_stats(tokens).coalesce(1).write.parquet(f"{root}/{version}/stats")
     return tokens.count()
@@ -50,38 +56,50 @@ def merge(spark: SparkSession, root: str, live: str, delta: DataFrame, version:
     tokens = spark.read.parquet(f"{root}/{version}/tokens")
     kept = spark.read.parquet(f"{root}/{live}/postings").join(new.select("doc_id"), "doc_id", "left_anti")
     post = kept.unionByName(lexical.postings(new))
-    post.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{root}/{version}/postings")
+    post.repartitionByRange("term").sortWithinPartitions("term").write.option("parquet.block.size", POSTING_BLOCK).parquet(f"{root}/{version}/postings")
     lexical.document_frequencies(post).write.parquet(f"{root}/{version}/frequencies")
     lexical.collection_stats(tokens).coalesce(1).write.parquet(f"{root}/{version}/stats")
     return new.count()
 
 
-def live_version(root: str) -> str | None:
-    p = Path(root, "LIVE")
-    return json.loads(p.read_text())["version"] if p.exists() else None
+def live_version(spark: SparkSession, root: str) -> str | None:
+    text = read_text(spark, f"{root}/LIVE")
+    return json.loads(text)["version"] if text else None
 
 
-def promote(root: str, version: str) -> None:
-    """Makes a version live; the one before is named in the pointer and stays."""
-    if not Path(root, version, "stats").exists():
+def promote(spark: SparkSession, root: str, version: str) -> None:
+    """Makes a version live; the one before is named in the pointer and stays. All of it goes through the Hadoop file system, so the root may lie on any store."""
+    if not exists(spark, f"{root}/{version}/stats/_SUCCESS"):
         raise ValueError(f"{version} isn't complete")
-    new = Path(root, f"LIVE.{time.time_ns()}")
-    new.write_text(json.dumps({"version": version, "previous": live_version(root)}))
-    new.replace(Path(root, "LIVE"))
+    write_text(spark, f"{root}/LIVE", json.dumps({"version": version, "previous": live_version(spark, root)}))
+
+
+def load(spark: SparkSession, root: str, version: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, document frequencies, collection stats) of a version, the live one by default."""
+    version = version or live_version(spark, root)
+    if version is None:
+        raise ValueError(f"{root} has no live index")
+    return tuple(spark.read.parquet(f"{root}/{version}/{t}") for t in ("postings", "frequencies", "stats"))
+
+
+def search(spark: SparkSession, root: str, topics: DataFrame, k: int = 1000, k1: float = lexical.K1, b: float = lexical.B, version: str | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank) from a stored index."""
+    return lexical.indexed_search(*load(spark, root, version), topics, k, k1, b)
 
 
-def step(spark: SparkSession, root: str, docs: DataFrame, decision: dict | None, *, after_s: int, upto_s: int, execute: bool = False, promote_now: bool = False) -> Outcome:
+def step(spark: SparkSession, root: str, docs: DataFrame, decision: dict | None, *, after_s: int, upto_s: int, execute: bool = False, promote_now: bool = False, vectors: Encoder | None = None) -> Outcome:
     """One turn of the loop, for the latest actionable decision (a row as a dict, or None). docs(doc_id, text, published_s).
 
     States: no_action, soft_alert_only, plan (what would be done), incremental_shadow_built, shadow_built, promoted. Level 2 adds what was
     published in (after, upto] to the live index; level 3, or the lack of a live index, builds anew.
+    With `vectors` level 3 also builds the vector index; below, the outcome says that it was left out.
     """
     if decision is None or decision["level"] == 0:
         return Outcome("no_action", 0, None)
     level, cutoff = decision["level"], decision["week_start"]
     if level == 1:
         return Outcome("soft_alert_only", 1, cutoff)
-    live = live_version(root)
+    live = live_version(spark, root)
     strategy = "incremental" if level == 2 and live else "full"
     if not execute:
         return Outcome("plan", level, cutoff, strategy=strategy)
@@ -90,9 +108,12 @@ def step(spark: SparkSession, root: str, docs: DataFrame, decision: dict | None,
         n = merge(spark, root, live, within(docs, after_s, upto_s).select("doc_id", "text"), version)
     else:
         n = build(docs.where(F.col("published_s") <= upto_s).select("doc_id", "text"), root, version)
-    done = Outcome("incremental_shadow_built" if strategy == "incremental" else "shadow_built", level, cutoff, version, n, strategy)
-    Path(root, version, "manifest.json").write_text(json.dumps(asdict(done)))
+    dense = None
+    if vectors is not None:
+        dense = "dense_build_skipped_level_below_3" if level < 3 else f"{ensure_vectors(docs.where(F.col('published_s') <= upto_s).select('doc_id', 'text'), root + '/' + version + '/vectors', vectors)} vectors encoded"
+    done = Outcome("incremental_shadow_built" if strategy == "incremental" else "shadow_built", level, cutoff, version, n, strategy, dense)
+    write_text(spark, f"{root}/{version}/manifest.json", json.dumps(asdict(done)))
     if promote_now:
-        promote(root, version)
-        done = Outcome("promoted", level, cutoff, version, n, strategy)
+        promote(spark, root, version)
+        done = Outcome("promoted", level, cutoff, version, n, strategy, dense)
     return done

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +15,15 @@ from tidewater.functions.vectors import norm
 from tidewater.operators import citations as cit
 from tidewater.operators import dense, drift, fusion, lexical, reports, slicing
 from tidewater.operators.evaluation import mean_metrics, per_query
-from tidewater.operators.overlay import Settings, overlay, query_profiles
+from tidewater.operators.overlay import Settings, evaluation_time, overlay, query_profiles
 from tidewater.operators.snapshots import numbered, snapshot_names
 from tidewater.sources import testdata as td
-from tidewater.session import table, written
+from tidewater.sources.readers import within
+from tidewater.plans import reindex
+from tidewater.session import shared_dir, table, written
 
-#: 2025-11-30T23:59:59Z, 2025-05-31T23:59:59Z, 2025-03-31T23:59:59Z, 2025-02-28T23:59:59Z, 2025-03-01T00:00:00Z
-AT, WINDOW_END, FROZEN, BASELINE, WINDOW_START = 1764547199, 1748735999, 1743465599, 1740787199, 1740787200
+#: 2025-11-30T23:59:59Z, 2025-05-31T23:59:59Z, 2025-03-31T23:59:59Z, 2025-02-28T23:59:59Z, 2025-03-01T00:00:00Z, 2025-04-01T00:00:00Z
+AT, WINDOW_END, FROZEN, BASELINE, WINDOW_START, AFTER = 1764547199, 1748735999, 1743465599, 1740787199, 1740787200, 1743465600
 METRICS = ["ndcg_cut_10", "map", "recall_100", "recip_rank_cut_10"]
 Q = {}
 
@@ -39,7 +43,7 @@ def r6(*names: str):
 @query
 def text_views(s: SparkSession, d: str) -> DataFrame:
     t = [F.col(c) for c in ("title", "abstract", "full_text")]
-    return td.corpus(s, d).select("doc_id", *(text_view(m, *t).alias(m) for m in ("title_abstract", "full_text", "all_text")))
+    return td.corpus(s, d, ("title", "abstract", "full_text")).select("doc_id", *(text_view(m, *t).alias(m) for m in ("title_abstract", "full_text", "all_text")))
 
 
 @query
@@ -60,7 +64,7 @@ def bm25_doc_stats(s, d):
 
 @query
 def bm25_df_idf(s, d):
-    t = lexical.tokenized(td.viewed(s, d))
+    t = written(lexical.tokenized(td.viewed(s, d)), "tokens")
     one = lexical.collection_stats(t).select("n_docs")
     df = lexical.document_frequencies(lexical.postings(t)).crossJoin(F.broadcast(one))  # one row
     return df.select("term", "df", F.round(bm25_idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
@@ -85,6 +89,15 @@ def bm25_frozen_cutoff(s, d):
     return _run(lexical.bm25(td.viewed(s, d).where(F.col("published_s") <= FROZEN), td.topics(s, d), 100))
 
 
+@query
+def bm25_stored_index(s, d):
+    """The same ranking as bm25_topk_ta, from an index that was built and promoted beforehand."""
+    root = f"{shared_dir(s).rstrip('/')}/index-{uuid.uuid4().hex}"
+    reindex.build(td.viewed(s, d).select("doc_id", "text"), root, "v1")
+    reindex.promote(s, root, "v1")
+    return _run(reindex.search(s, root, td.topics(s, d), 100))
+
+
 @query
 def rm3_terms(s, d):
     return lexical.expanded_terms(lexical.tokenized(td.viewed(s, d)), td.topics(s, d)).select("query_id", "term", *r6("weight"))
@@ -97,8 +110,9 @@ def rm3_topk(s, d):
 
 @query
 def delta_merge_stats(s, d):
-    t = lexical.tokenized(td.viewed(s, d)).join(td.corpus(s, d).select("doc_id", "published_s"), "doc_id")
-    live, delta = t.where(F.col("published_s") <= FROZEN), t.where((F.col("published_s") > FROZEN) & (F.col("published_s") <= WINDOW_END))
+    docs = td.viewed(s, d)
+    t = written(lexical.tokenized(docs).join(docs.select("doc_id", "published_s"), "doc_id"), "tokens")
+    live, delta = t.where(F.col("published_s") <= FROZEN), within(t, FROZEN, WINDOW_END)
     df, one = lexical.merged_stats(live.drop("published_s"), delta.drop("published_s"))
     return df.crossJoin(F.broadcast(one)).select("term", "df", "n_docs", "n_tokens")  # one row
 
@@ -221,6 +235,14 @@ def hybrid_union_rerank(s, d):
 # --- time and query understanding
 
 
+@query
+def evaluation_times(s, d):
+    """When ages are taken for each snapshot of the corpus, and without one."""
+    docs = written(td.corpus(s, d), "docs")
+    names = [*snapshot_names(table(s, d, "document_snapshots")), None]
+    return s.createDataFrame([(n, evaluation_time(docs, n)) for n in names], "snapshot_id string, at_s long")
+
+
 @query
 def doc_ages(s, d):
     pub = age_days(AT, F.col("published_s"))
@@ -249,19 +271,22 @@ def evidence_route(s, d):
 
 
 def _base(s, d):
-    return written(lexical.bm25(td.viewed(s, d), td.topics(s, d), 100), "run")
+    docs = td.viewed(s, d)
+    return written(lexical.bm25(docs, td.topics(s, d), 1000), "run"), docs
 
 
-def _overlay_docs(s, d):
-    docs = td.viewed(s, d).select("doc_id", "text", "published_s", "updated_s", "year")
+def _overlay_docs(s, d, docs):
+    docs = docs.select("doc_id", "text", "published_s", "updated_s", "year")
     c = td.citation_counters(s, d)
     sig = cit.signals({k: F.col(k) for k in c.columns if k != "doc_id"})
-    return docs.join(c, "doc_id", "left").withColumns({f"sig_{k}": v for k, v in sig.items()})
+    out = docs.join(c, "doc_id", "left").withColumns({f"sig_{k}": v for k, v in sig.items()})
+    return out.withColumn("total_in", F.greatest("total_in", "nonself_in"))
 
 
 @query
 def query_profile(s, d):
-    p = query_profiles(_base(s, d), td.topics(s, d), _overlay_docs(s, d), Settings())
+    base, docs = _base(s, d)
+    p = query_profiles(base, td.topics(s, d), _overlay_docs(s, d, docs), Settings())
     return p.select("query_id", *r6("entropy", "old_share", "cited_share"), "span", "alpha", "beta", "route")
 
 
@@ -291,7 +316,8 @@ def citation_features(s, d):
 
 def _overlay(mode: str):
     def f(s: SparkSession, d: str) -> DataFrame:
-        return overlay(_base(s, d), td.topics(s, d), _overlay_docs(s, d), AT, Settings(mode=mode, head=50), 100).select("query_id", "doc_id", *r6("score"), "rank")
+        base, docs = _base(s, d)
+        return overlay(base, td.topics(s, d), _overlay_docs(s, d, docs), AT, Settings(mode=mode)).select("query_id", "doc_id", *r6("score"), "rank")
 
     f.__name__ = f"overlay_{mode}"
     return f
@@ -309,8 +335,7 @@ def _three(s, d):
     return docs, td.runs(s, d), td.qrels(s, d)
 
 
-def _points(s):
-    return slicing.cutoffs(s, WINDOW_START, WINDOW_END, 15)
+POINTS, LATER_POINTS = slicing.cutoffs(WINDOW_START, WINDOW_END), slicing.cutoffs(AFTER, WINDOW_END)
 
 
 @query
@@ -320,17 +345,17 @@ def month_split_eval(s, d):
 
 @query
 def cumulative_eval(s, d):
-    return slicing.cumulative(*_three(s, d), _points(s), METRICS)
+    return slicing.cumulative(*_three(s, d), POINTS, METRICS)
 
 
 @query
 def frozen_index_eval(s, d):
-    return slicing.frozen(*_three(s, d), _points(s), FROZEN, METRICS)
+    return slicing.frozen(*_three(s, d), LATER_POINTS, FROZEN, METRICS)
 
 
 @query
 def reindex_scenarios(s, d):
-    return slicing.scenarios(*_three(s, d), _points(s), BASELINE, WINDOW_END, ["ndcg_cut_10", "recall_100"])
+    return slicing.scenarios(*_three(s, d), POINTS, BASELINE, WINDOW_END, ["ndcg_cut_10", "recall_100"])
 
 
 # --- reports
@@ -372,7 +397,7 @@ def temporal_change(s, d):
     rows = slicing.by_month(*_three(s, d), ["ndcg_cut_10"]).withColumnsRenamed({"run_name": "model", "slice": "split_name"})
     steps = [("march_only", "march_april"), ("march_april", "march_april_may"), ("march_only", "march_april_may")]
     out = reports.temporal_change(rows, "ndcg_cut_10", LEX, steps)
-    return out.select("transition", "model", *r6("earlier_score", "later_score", "arp", "marp", "ri", "dri"))
+    return out.select("transition", "model", *r6("earlier_score", "later_score", "arp", "marp", "ri", "dri", "er"))
 
 
 @query

@@ -6,7 +6,7 @@ import re
 
 from tidewater.functions import cues
 from tidewater.operators.overlay import WEIGHTS
-from tidewater.plans.retrieval_queries import AT, BASELINE, CUT, FROZEN, WINDOW_END, WINDOW_START
+from tidewater.plans.retrieval_queries import AFTER, AT, BASELINE, CUT, FROZEN, WINDOW_END, WINDOW_START
 
 _KEY = r"regexp_replace(doc_id, '^\s+|\s+$', '', 'g')"
 _WS = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -45,7 +45,7 @@ _CTE = {
     "qr": f"SELECT query_id, {_KEY} AS doc_id, arg_max(coalesce(relevance, 0), (judged_at, coalesce(relevance, 0))) AS relevance FROM qrels WHERE query_id IS NOT NULL AND {_KEY} <> '' GROUP BY 1, 2",
     "runs": f"SELECT run_name, query_id, {_KEY} AS doc_id, max(score) AS score, min(CASE WHEN rank > 0 THEN rank END) AS rank FROM search_results WHERE query_id IS NOT NULL AND {_KEY} <> '' AND score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2, 3",
     "snap_runs": f"SELECT run_name, snapshot_id, query_id, {_KEY} AS doc_id, max(score) AS score, min(CASE WHEN rank > 0 THEN rank END) AS rank FROM search_results WHERE query_id IS NOT NULL AND {_KEY} <> '' AND score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2, 3, 4",
-    "ranked": "SELECT * FROM (SELECT run_name, query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY run_name, query_id ORDER BY CASE WHEN rank > 0 THEN rank ELSE 1000000000 END, score DESC, doc_id) AS INT) AS rank FROM runs) WHERE rank <= 100",
+    "ranked": "SELECT * FROM (SELECT run_name, query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY run_name, query_id ORDER BY CASE WHEN rank > 0 THEN rank ELSE 1000000000 END, score DESC, doc_id) AS INT) AS rank FROM runs)",
     "counters": f"""SELECT doc_id, unnest(r) FROM (SELECT {_KEY} AS doc_id, arg_max(struct_pack(total_in := total_inbound_citations, recent_in := recent_inbound_citations, nonself_in := nonself_inbound_citations, nonself_recent_in := nonself_recent_inbound_citations, total_out := total_outbound_citations, foundational := foundational_signal, emerging := emerging_signal), (snapshot_id, computed_at)) AS r
       FROM citation_features WHERE {_KEY} <> '' GROUP BY 1)""",
 }
@@ -109,7 +109,7 @@ def _evaluated(runs: str, qr: str, keys: str, sliced: str = "", trec: bool = Fal
     on = ", ".join(x for x in (sliced, "query_id") if x)
     every = f"SELECT DISTINCT {keys}, query_id, n_rel, ideal FROM rk JOIN best USING ({on})" if trec else (f"SELECT * FROM best JOIN (SELECT DISTINCT {keys} FROM {runs}) USING ({sliced})" if sliced else f"SELECT * FROM best CROSS JOIN (SELECT DISTINCT {keys} FROM {runs})")
     return {
-        "rk": f"SELECT * FROM (SELECT {keys}, query_id, doc_id, row_number() OVER (PARTITION BY {keys}, query_id ORDER BY round(score, 6) DESC, {tie}) AS r FROM {runs}) WHERE r <= 1000",
+        "rk": f"SELECT * FROM (SELECT {keys}, query_id, doc_id, row_number() OVER (PARTITION BY {keys}, query_id ORDER BY round(score, 6) DESC, {tie}) AS r FROM {runs})",
         "hit": f"SELECT {keys}, query_id, r, relevance, row_number() OVER (PARTITION BY {keys}, query_id ORDER BY r) AS seen FROM rk JOIN {qr} USING ({on}, doc_id) WHERE relevance > 0",
         "got": f"SELECT {keys}, query_id, sum(CASE WHEN r <= 10 THEN {gain} / log2(r + 1) END) AS dcg, sum(seen / r) AS ap, count(*) FILTER (WHERE r <= 100) AS rec, min(CASE WHEN r <= 10 THEN r END) AS fr FROM hit GROUP BY ALL",
         "best": f"SELECT {on}, count(*) FILTER (WHERE relevance > 0) AS n_rel, sum(CASE WHEN i <= 10 THEN {gain} / log2(i + 1) END) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY {on} ORDER BY relevance DESC, doc_id) AS i FROM {qr}) GROUP BY ALL",
@@ -136,7 +136,12 @@ def _sliced(slices: str, counts: str, runs: str, qr: str, metrics: tuple[str, ..
 
 _MONTHS = {"mon": "SELECT unnest(['march_only', 'march_april', 'march_april', 'march_april_may', 'march_april_may', 'march_april_may']) AS slice, unnest([3, 3, 4, 3, 4, 5]) AS month", "al": "SELECT slice, doc_id FROM dated JOIN mon USING (month)"}
 _MONTHLY = _MONTHS | _sliced("SELECT DISTINCT slice FROM mon", "SELECT slice, count(*) AS n_docs FROM al GROUP BY 1", "SELECT runs.*, slice FROM runs JOIN al USING (doc_id)", "SELECT qr.*, slice FROM qr JOIN al USING (doc_id)")
-_POINTS = {"pt": f"SELECT {WINDOW_START} + i * 1296000 AS cutoff_s, CAST(DATE '1970-01-01' + CAST(({WINDOW_START} + i * 1296000) // 86400 AS INT) AS VARCHAR) AS slice FROM range(0, {(WINDOW_END - WINDOW_START) // 1296000 + 1}) AS g(i)"}
+def _points(start: int, step: int = 7 * 86400) -> dict[str, str]:
+    first = start + step - 86400
+    return {"pt": f"SELECT {first} + i * {step} AS cutoff_s, CAST(DATE '1970-01-01' + CAST(({first} + i * {step}) // 86400 AS INT) AS VARCHAR) AS slice FROM range(0, {(WINDOW_END - first) // step + 1}) AS g(i)"}
+
+
+_POINTS = _points(WINDOW_START)
 _COUNTS = "SELECT slice, count(*) AS n_docs FROM dated JOIN pt ON published_s <= cutoff_s GROUP BY 1"
 _GROWN_RUNS = "SELECT runs.*, slice FROM runs JOIN dated USING (doc_id) JOIN pt ON published_s <= cutoff_s"
 _GROWN_QR = "SELECT qr.*, slice FROM qr JOIN dated USING (doc_id) JOIN pt ON published_s <= cutoff_s"
@@ -191,14 +196,14 @@ def _age(x: str) -> str:
 
 
 _DOCS = {
-    "od": f"""SELECT c.doc_id, ta.text, c.published_s, c.updated_s, CAST(year(DATE '1970-01-01' + CAST(c.published_s // 86400 AS INT)) AS INT) AS year, total_in,
+    "od": f"""SELECT c.doc_id, ta.text, c.published_s, c.updated_s, CAST(year(DATE '1970-01-01' + CAST(coalesce(c.published_s, c.updated_s) // 86400 AS INT)) AS INT) AS year, greatest(coalesce(total_in, 0), coalesce(nonself_in, 0)) AS total_in,
       {_age('c.published_s')} AS age, {_age('coalesce(c.updated_s, c.published_s)')} AS update_age,
       ln(1 + greatest(coalesce(nonself_in, 0), coalesce(total_in, 0))) AS sig_total, ln(1 + greatest(coalesce(nonself_recent_in, 0), coalesce(recent_in, 0))) AS sig_recent, coalesce(foundational, 0.0) AS sig_foundation, coalesce(emerging, 0.0) AS sig_emerging, ln(1 + coalesce(total_out, 0)) AS sig_outbound
       FROM corpus AS c JOIN ta USING (doc_id) LEFT JOIN counters USING (doc_id)""",
 }
-_PROFILE = _bm25("ta", 100) | _cue_tables("topics") | _DOCS | {
+_PROFILE = _bm25("ta", 1000) | _cue_tables("topics") | _DOCS | {
     "tp": "SELECT query_id, year, total_in, max(year) OVER (PARTITION BY query_id) AS last_year FROM bm LEFT JOIN od USING (doc_id) WHERE rank <= 20",
-    "fa": "SELECT query_id, max(year) - min(year) AS span, count(*) FILTER (WHERE year <= last_year - 5) / count(*) AS old_share, count(*) FILTER (WHERE total_in >= 10) / count(*) AS cited_share FROM tp GROUP BY 1",
+    "fa": "SELECT query_id, max(year) - min(year) AS span, coalesce(count(*) FILTER (WHERE year <= last_year - 5) / nullif(count(year), 0), 0) AS old_share, count(*) FILTER (WHERE total_in >= 10) / count(*) AS cited_share FROM tp GROUP BY 1",
     "en": "SELECT query_id, CASE WHEN count(*) > 1 THEN sum(-p * ln(p)) / ln(count(*)) ELSE 0.0 END AS entropy FROM (SELECT query_id, n / sum(n) OVER (PARTITION BY query_id) AS p FROM (SELECT query_id, year, count(*) AS n FROM tp WHERE year IS NOT NULL GROUP BY 1, 2)) GROUP BY 1",
     "ab": """SELECT *, CASE WHEN time_cue THEN 0.25 WHEN entropy <= 0.55 THEN 0.15 ELSE 0.03 END::DOUBLE AS alpha, CASE WHEN citation_cue THEN 0.25 WHEN cited_share >= 0.3 OR (span >= 5 AND old_share >= 0.5) THEN 0.12 ELSE 0.03 END::DOUBLE AS beta
       FROM it LEFT JOIN fa USING (query_id) LEFT JOIN en USING (query_id)""",
@@ -225,12 +230,12 @@ def _overlay(mode: str) -> str:
     t, c = (time, cited) if mode == "direct" else (f"CASE WHEN {gate} THEN alpha * ({time}) ELSE 0 END", f"CASE WHEN {gate} THEN beta * ({cited}) ELSE 0 END")
     final = {"citation_only": f"rel + {c}", "router": f"rel + CASE WHEN route IN ('temporal', 'mixed') THEN {t} ELSE 0 END + CASE WHEN route IN ('citation', 'mixed') THEN {c} ELSE 0 END"}.get(mode, f"rel + {t} + {c}")
     parts = _PROFILE | {
-        "he": f"SELECT *, {_mm('score', '1.0')} AS rel, {comps} FROM (SELECT bm.query_id, bm.doc_id, bm.score, bm.rank, alpha, beta, route, intent, age, update_age, {', '.join(f'sig_{c}' for c in sig)}, t AS q, list_distinct(regexp_extract_all(lower(od.text), '[a-z0-9][a-z0-9-]*')) AS d FROM bm JOIN pr USING (query_id) JOIN od USING (doc_id) WHERE rank <= 50)",
+        "he": f"SELECT *, {_mm('score', '1.0')} AS rel, {comps} FROM (SELECT bm.query_id, bm.doc_id, bm.score, bm.rank, alpha, beta, route, intent, age, update_age, {', '.join(f'sig_{c}' for c in sig)}, t AS q, list_distinct(regexp_extract_all(lower(od.text), '[a-z0-9][a-z0-9-]*')) AS d FROM bm JOIN pr USING (query_id) JOIN od USING (doc_id) WHERE rank <= 200)",
         "hn": f"SELECT *, {_NOVEL} AS novelty FROM he",
-        "fi": f"SELECT query_id, doc_id, {final} AS score, 0 AS part, rank AS pos FROM hn UNION ALL SELECT query_id, doc_id, score, 1, rank FROM bm WHERE rank > 50",
+        "fi": f"SELECT query_id, doc_id, {final} AS score, 0 AS part, rank AS pos FROM hn UNION ALL SELECT query_id, doc_id, score, 1, rank FROM bm WHERE rank > 200",
         "ov": "SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY part, CASE WHEN part = 0 THEN round(score, 8) ELSE 0 END DESC, pos, doc_id) AS INT) AS rank FROM fi",
     }
-    return _with(parts, _RUN + "ov WHERE rank <= 100")
+    return _with(parts, _RUN + "ov WHERE rank <= 1000")
 
 
 # --- citations and drift
@@ -273,7 +278,7 @@ _LISTED = f"SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score, mi
 
 
 def _rrf(*names: str) -> str:
-    return _with({"fu": f"SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM ranked WHERE run_name IN ({', '.join(names)}) GROUP BY 1, 2", "tt": _top("fu", 100)}, "SELECT query_id, doc_id, round(score, 8) AS score, rank FROM tt")
+    return _with({"fu": f"SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM ranked WHERE run_name IN ({', '.join(names)}) GROUP BY 1, 2", "tt": _top("fu", 1000)}, "SELECT query_id, doc_id, round(score, 8) AS score, rank FROM tt")
 
 
 def _words(x: str) -> str:
@@ -308,6 +313,7 @@ SQL = {
     "bm25_df_idf": _with(_tokens("ta"), "SELECT term, df, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 6) AS idf FROM dfs CROSS JOIN st"),
     "bm25_topk_ta": _with(_bm25("ta", 100), _RUN + "bm"),
     "bm25_topk_ft": _with(_bm25("ft", 100), _RUN + "bm"),
+    "bm25_stored_index": _with(_bm25("ta", 100), _RUN + "bm"),
     "bm25_frozen_cutoff": _with(_bm25("early", 100), _RUN + "bm"),
     "rm3_terms": _with(_RM3, "SELECT query_id, term, round(weight, 6) AS weight FROM ex"),
     "rm3_topk": _with(_RM3 | _scores("ex", "s2") | {"b2": _top("s2", 100)}, _RUN + "b2"),
@@ -334,6 +340,7 @@ SQL = {
     ),
     "hybrid_rrf_rerank": _with(_HYBRID | {"fu": "SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min((list, rank)) AS seen FROM li GROUP BY 1, 2", "po_": _top("fu", 40, "seen, doc_id")} | _reranked("SELECT query_id, doc_id, rank AS cand_rank FROM po_", 20), _RUN + "rr"),
     "hybrid_union_rerank": _with(_HYBRID | _reranked("SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY min((list, rank)), doc_id) AS cand_rank FROM li GROUP BY 1, 2) WHERE cand_rank <= 40", 20), _RUN + "rr"),
+    "evaluation_times": _with({"la": "SELECT max(greatest(published_s, coalesce(updated_s, published_s))) AS a, max(updated_s) AS u FROM corpus", "ns": "SELECT DISTINCT snapshot_id FROM document_snapshots WHERE snapshot_id IS NOT NULL UNION ALL SELECT NULL"}, "SELECT snapshot_id, coalesce(CAST(epoch(CASE snapshot_id WHEN 'snapshot-1' THEN TIMESTAMP '2025-05-31 23:59:59' WHEN 'snapshot-2' THEN TIMESTAMP '2025-08-31 23:59:59' WHEN 'snapshot-3' THEN TIMESTAMP '2025-11-30 23:59:59' END) AS BIGINT), greatest(a, u)) AS at_s FROM ns CROSS JOIN la"),
     "doc_ages": _with({"a": f"SELECT doc_id, {_age('published_s')} AS a, {_age('coalesce(updated_s, published_s)')} AS u FROM corpus"}, "SELECT doc_id, round(a, 6) AS age_days, round(u, 6) AS update_age_days, round(coalesce(exp(-a / 90), 0), 6) AS recency, round(coalesce(exp(-u / 90), 0), 6) AS update_score, round(coalesce(1 - exp(-a / 365), 0), 6) AS foundation FROM a"),
     "lexical_novelty": _with(_bm25("ta", 10) | {"x": "SELECT query_id, doc_id, list_distinct(regexp_extract_all(lower(topics.text), '[a-z0-9][a-z0-9-]*')) AS q, list_distinct(regexp_extract_all(lower(ta.text), '[a-z0-9][a-z0-9-]*')) AS d FROM bm JOIN topics USING (query_id) JOIN ta USING (doc_id)"}, f"SELECT query_id, doc_id, round({_NOVEL}, 6) AS novelty FROM x"),
     "intent_labels": _with(_cue_tables("every_topic"), f"SELECT query_id, intent, {', '.join(f'round(exp(s{i} - s) / {_SOFT}, 6) AS p_{n}' for i, n in enumerate(cues.INTENTS))} FROM it"),
@@ -346,7 +353,7 @@ SQL = {
     "month_split_eval": _with(_MONTHLY, "SELECT * FROM sl"),
     "cumulative_eval": _with(_POINTS | _sliced("SELECT slice FROM pt", _COUNTS, _GROWN_RUNS, _GROWN_QR), "SELECT * FROM sl"),
     "frozen_index_eval": _with(
-        _POINTS | _sliced("SELECT slice FROM pt", _COUNTS, f"SELECT runs.*, slice FROM runs SEMI JOIN (SELECT doc_id FROM dated WHERE published_s <= {FROZEN}) USING (doc_id) CROSS JOIN pt", _GROWN_QR) | {"fz": f"SELECT count(*) AS n_frozen FROM dated WHERE published_s <= {FROZEN}"},
+        _points(AFTER) | _sliced("SELECT slice FROM pt", _COUNTS, f"SELECT runs.*, slice FROM runs SEMI JOIN (SELECT doc_id FROM dated WHERE published_s <= {FROZEN}) USING (doc_id) CROSS JOIN pt", _GROWN_QR) | {"fz": f"SELECT count(*) AS n_frozen FROM dated WHERE published_s <= {FROZEN}"},
         "SELECT *, greatest(n_docs - n_frozen, 0) AS n_new FROM sl CROSS JOIN fz",
     ),
     "reindex_scenarios": _with(
@@ -357,7 +364,7 @@ SQL = {
         _SNAP | _SNAP_MEANS | {"lo": "SELECT method, snapshot_id, 'ndcg_cut_10' AS metric, ndcg_cut_10 AS value FROM ms UNION ALL SELECT method, snapshot_id, 'map', map FROM ms", "pp": "SELECT unnest(['snapshot-2', 'snapshot-3', 'snapshot-3']) AS newer, unnest(['snapshot-1', 'snapshot-2', 'snapshot-1']) AS older"},
         "SELECT n.method, newer, older, metric, o.value AS old_value, n.value AS new_value, round(n.value - o.value, 6) AS delta, CASE WHEN o.value <> 0 THEN round((n.value - o.value) / o.value, 6) END AS pct FROM pp JOIN lo AS n ON n.snapshot_id = newer JOIN lo AS o USING (method, metric) WHERE o.snapshot_id = older",
     ),
-    "method_snapshot_pivot": _with(_SNAP | _SNAP_MEANS, "SELECT method, " + ", ".join(f"max({m}) FILTER (WHERE snapshot_id = 'snapshot-{i}') AS s{i}_{m}" for i in (1, 2) for m in ("ndcg_cut_10", "map")) + " FROM ms GROUP BY 1"),
+    "method_snapshot_pivot": _with(_SNAP | _SNAP_MEANS, "SELECT method, " + ", ".join(f"max({m}) FILTER (WHERE snapshot_id = 'snapshot-{i}') AS s{i}_{m}" for i in (1, 2, 3, 4) for m in ("ndcg_cut_10", "map")) + " FROM ms GROUP BY 1"),
     "method_cube": _with(_SNAP | _SNAP_MEANS, "SELECT method, snapshot_id, round(avg(ndcg_cut_10), 6) AS mean_ndcg_cut_10, count(*) AS n_rows FROM ms GROUP BY CUBE (method, snapshot_id)"),
     "model_comparison": _with(_evaluated("runs", "qr", "run_name") | {"mm": _means("run_name")}, "SELECT run_name AS method, * EXCLUDE (run_name), 'all' AS qrels_variant, CAST(row_number() OVER (ORDER BY ndcg_cut_10 DESC, run_name) AS INT) AS place FROM mm"),
     "temporal_change": _with(
@@ -365,7 +372,7 @@ SQL = {
             "stp": "SELECT unnest(['march_only', 'march_april', 'march_only']) AS es, unnest(['march_april', 'march_april_may', 'march_april_may']) AS ls",
             "bt": "SELECT es || '->' || ls AS transition, e.run_name AS model, e.ndcg_cut_10 AS e, l.ndcg_cut_10 AS l, CASE WHEN abs(e.ndcg_cut_10) < 1e-12 THEN 0.0 ELSE (e.ndcg_cut_10 - l.ndcg_cut_10) / e.ndcg_cut_10 END AS ri FROM stp JOIN sl AS e ON e.slice = es JOIN sl AS l ON l.slice = ls AND l.run_name = e.run_name",
         },
-        f"SELECT transition, bt.model, round(e, 6) AS earlier_score, round(l, 6) AS later_score, round(l, 6) AS arp, round((e + l) / 2, 6) AS marp, round(ri, 6) AS ri, round(ri - b.base, 6) AS dri FROM bt JOIN (SELECT transition, ri AS base FROM bt WHERE model = {_L}) AS b USING (transition)",
+        f"SELECT transition, bt.model, round(e, 6) AS earlier_score, round(l, 6) AS later_score, round(l, 6) AS arp, round((e + l) / 2, 6) AS marp, round(ri, 6) AS ri, round(ri - b.base, 6) AS dri, round(ri / CASE WHEN abs(b.base) >= 1e-9 THEN b.base WHEN b.base < 0 THEN -1e-9 ELSE 1e-9 END, 6) AS er FROM bt JOIN (SELECT transition, ri AS base FROM bt WHERE model = {_L}) AS b USING (transition)",
     ),
     "rank_stability": _with(
         {

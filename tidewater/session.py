@@ -34,13 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the one the session names; a local one only where none is named."""
+    """The folder all executors share: the one the session names. Where none is named, a local one, if the session has no executors elsewhere; else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             named = held.get()
         else:
+            if spark.sparkContext.master.partition("[")[0] != "local":
+                raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
             named = tempfile.mkdtemp(prefix="tidewater-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
             named = f"file://{named}"
@@ -51,11 +53,54 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file of any store, None if there is none."""
+    p, fs = _path(spark, path)
+    if not fs.exists(p):
+        return None
+    with_stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(with_stream, "UTF-8")
+    finally:
+        with_stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file beside its place and renames it into it, so a reader sees the old one or the new one."""
+    p, fs = _path(spark, path)
+    new, _ = _path(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(new)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(p, False)
+    if not fs.rename(new, p):
+        raise OSError(f"{path} couldn't be written")
+
+
+def _clear_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            clear_written(spark)
+        except Exception:  # the session may have ended by then
+            pass
+
+
 def clear_written(spark: SparkSession) -> None:
-    """Deletes the tables that written() made so far. Results that still read them can't be used any more."""
+    """Deletes the tables that written() made so far, as is done when the program ends. Results that still read them can't be used any more."""
     while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        p, fs = _path(spark, _WRITTEN.pop())
+        fs.delete(p, True)
 
 
 def written(df: DataFrame, label: str = "t", by: str | None = None) -> DataFrame:
@@ -64,6 +109,8 @@ def written(df: DataFrame, label: str = "t", by: str | None = None) -> DataFrame
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     w = df.write.option("compression", "zstd")
     (w.partitionBy(by) if by else w).parquet(path)
+    if not _WRITTEN:
+        atexit.register(_clear_at_exit)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.functions.text import as_text, first_non_empty
+from tidewater.functions.text import as_text, first_non_empty, strip
 
 FORMATS = ("json", "jsonl", "tsv", "csv", "txt")
 ID_NAMES, BODY_NAMES = ("doc_id", "id", "docno"), ("full_text", "fullText", "text", "body")
@@ -31,7 +31,12 @@ def read_records(spark: SparkSession, path: str, explicit: str | None = None, sc
         r = r.schema(schema)
     if kind == "json":
         df = r.option("multiLine", True).json(path)
-        return df.select(F.inline("data")) if df.columns == ["data"] else df
+        first = spark.read.text(path).where(F.trim("value") != "").first()
+        if first is None or first.value.lstrip("\ufeff \t").startswith("["):
+            return df
+        if "data" not in df.columns or not isinstance(df.schema["data"].dataType, T.ArrayType) or not isinstance(df.schema["data"].dataType.elementType, T.StructType):
+            raise ValueError(f"{path} holds neither a list of records nor one under `data`")
+        return df.select(F.inline("data"))
     if kind == "jsonl":
         return r.json(path)
     if kind == "txt":
@@ -44,8 +49,8 @@ def _must(cond: Column, value: Column, message: str) -> Column:
 
 
 def _split_lines(spark: SparkSession, path: str, n: int, names: list[str]) -> DataFrame:
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parts = F.split(F.trim("value"), r"(?U)\s+")
+    lines = spark.read.text(path).where(strip(F.col("value")) != "")
+    parts = F.split(strip(F.col("value")), r"(?U)\s+")
     parts = _must(F.size(parts) == n, parts, f"a line hasn't {n} columns")
     return lines.select(parts.alias("p"), F.monotonically_increasing_id().alias("line_no")).select(*(F.col("p")[i].alias(c) for i, c in enumerate(names) if c), "line_no")
 
@@ -63,7 +68,7 @@ def read_run(spark: SparkSession, path: str, keep_rows: bool = True) -> DataFram
 
 def read_topics_tsv(spark: SparkSession, path: str) -> DataFrame:
     """query_id TAB text without a header; blank lines are skipped, a line without a tab is an error."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).where(strip(F.col("value")) != "")
     parts = F.split("value", "\t", 2)
     parts = _must(F.size(parts) == 2, parts, "a line hasn't a tab")
     return lines.select(parts[0].alias("query_id"), parts[1].alias("text"))
@@ -80,13 +85,15 @@ def _named(df: DataFrame, names: tuple[str, ...], fields: dict[str, str], target
     return first_non_empty(*(as_text(F.col(n)) for n in have)) if have else F.lit(None).cast("string")
 
 
-def normalize_corpus(df: DataFrame, fields: dict[str, str] | None = None, load_full_text: bool = True) -> DataFrame:
+def normalize_corpus(df: DataFrame, fields: dict[str, str] | None = None, load_full_text: bool = True, missing: str = "error") -> DataFrame:
     """(doc_id, title, abstract, full_text, snapshot_id, metadata): ids and bodies under any of their names, or as `fields` maps them.
 
-    A record without an id is an error. What no column takes goes into metadata, as text. Without load_full_text the body isn't read.
+    A record without an id is an error, or left out (missing='skip'). What no column takes goes into metadata, as text. Without load_full_text the body isn't read.
     """
     fields = fields or {}
     doc_id = _named(df, ID_NAMES, fields, "doc_id")
+    if missing == "skip":
+        df = df.where(doc_id.isNotNull())
     used = {*ID_NAMES, *BODY_NAMES, "title", "abstract", "snapshot_id", *fields.values()}
     rest = [c for c in df.columns if c not in used]
     meta = F.map_filter(F.create_map(*(x for c in rest for x in (F.lit(c), F.col(c).cast("string")))), lambda _, v: v.isNotNull()) if rest else F.create_map().cast("map<string,string>")
@@ -112,9 +119,13 @@ def merge_corpus(rows: DataFrame) -> DataFrame:
 
 
 def snapshot_files(spark: SparkSession, root: str, part: str) -> DataFrame:
-    """All JSON-lines records under a folder whose path holds `part`, upper and lower case alike, with their file and line order."""
-    df = spark.read.option("recursiveFileLookup", True).json(root)
-    return df.withColumn("file_path", F.col("_metadata.file_path")).where(F.lower("file_path").contains(part.lower()))
+    """All JSON-lines records under a folder whose path holds `part`, upper and lower case alike, with their file and their place in it. Other files aren't opened."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    paths = [r.path for r in listed.where(F.lower("path").contains(part.lower())).orderBy("path").collect()]  # names of files
+    if not paths:
+        raise ValueError(f"{root} has no files of {part}")
+    df = spark.read.option("mode", "FAILFAST").json(paths)
+    return df.withColumns({"file_path": F.col("_metadata.file_path"), "place": F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))})
 
 
 def within(docs: DataFrame, after_s: int, upto_s: int) -> DataFrame:

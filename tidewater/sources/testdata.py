@@ -9,23 +9,39 @@ from tidewater.functions.dates import parse_seconds
 from tidewater.functions.text import text_view
 from tidewater.operators.evaluation import latest_qrels
 from tidewater.operators.snapshots import doc_key
-from tidewater.session import table
-
-_FIELDS = ("title", "abstract", "full_text", "published_date", "created_date", "updated_date")
-
-
-def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """One row per document: its latest row in its highest snapshot, with parsed dates."""
-    rows = table(spark, d, "document_snapshots").withColumn("doc_id", doc_key(F.col("doc_id"))).where("doc_id is not null")
-    last = rows.groupBy("doc_id").agg(F.max_by(F.struct(*_FIELDS), F.struct("snapshot_id", "delivered_at")).alias("r")).select("doc_id", "r.*")
+from tidewater.session import bounded, table, written
+
+_DATES = ("published_date", "created_date", "updated_date")
+_TEXTS = ("title", "abstract", "full_text")
+#: Texts that each view needs.
+_VIEWS = {"title_abstract": ("title", "abstract"), "full_text": _TEXTS, "all_text": _TEXTS}
+
+
+def corpus(spark: SparkSession, d: str, texts: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: its latest row in its highest snapshot, with parsed dates and the texts that are asked for.
+
+    Only keys, times and dates are aggregated, with the place of the latest row in its file. Texts are read once more, at those places.
+    """
+    rows = table(spark, d, "document_snapshots")
+    rows = rows.select(doc_key(F.col("doc_id")).alias("doc_id"), "snapshot_id", "delivered_at", *_DATES, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).where("doc_id is not null")
+    picked = F.struct(*_DATES, "file", "row") if texts else F.struct(*_DATES)
+    last = rows.groupBy("doc_id").agg(F.max_by(picked, F.struct("snapshot_id", "delivered_at")).alias("r")).select("doc_id", "r.*")
+    if texts:
+        last = written(last, "latest")
+        read = table(spark, d, "document_snapshots").select(*texts, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        last = read.join(bounded(last), ["file", "row"]).drop("file", "row")
     published, created = parse_seconds(F.col("published_date")), parse_seconds(F.col("created_date"))
+    updated = parse_seconds(F.col("updated_date"))
     month = F.when(F.col("published_date").rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring("published_date", 6, 2).cast("int"))
-    out = last.withColumns({"published_s": F.coalesce(published, created), "updated_s": parse_seconds(F.col("updated_date")), "month": month})
-    return out.withColumn("year", F.year(F.date_from_unix_date(F.floor(F.col("published_s") / 86400).cast("int"))))
+    out = last.withColumns({"published_s": F.coalesce(published, created), "created_s": created, "updated_s": updated, "month": month})
+    return out.withColumn("year", F.year(F.date_from_unix_date(F.floor(F.coalesce("published_s", "updated_s") / 86400).cast("int"))))
 
 
 def viewed(spark: SparkSession, d: str, mode: str = "title_abstract") -> DataFrame:
-    return corpus(spark, d).withColumn("text", text_view(mode, F.col("title"), F.col("abstract"), F.col("full_text")))
+    """The corpus with its text in one view, written once, as searches read it several times."""
+    docs = corpus(spark, d, _VIEWS[mode])
+    text = text_view(mode, *(F.col(c) if c in _VIEWS[mode] else F.lit(None).cast("string") for c in _TEXTS))
+    return written(docs.select("doc_id", text.alias("text"), "published_s", "created_s", "updated_s", "month", "year"), "docs")
 
 
 def topics(spark: SparkSession, d: str) -> DataFrame:
