@@ -155,24 +155,38 @@ def segment_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     return near.unionByName(left.select(F.col("cls").alias("cls_e")).join(right.select(F.col("cls").alias("cls_t")), F.col("cls_e") == F.col("cls_t")))
 
 
-def cross_split_pairs(queries: DataFrame, *, threshold: float = 0.7) -> DataFrame:
-    """(query_a, query_b), query_a < query_b, distinct: texts of dev or test that stand, exactly or nearly, in train.
+def cross_split_links(queries: DataFrame, *, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members(query_id, train, cls) of the classes of equal word sets, links(cls_e, cls_t) between classes with evaluation texts and classes with training texts.
 
     queries has query_id, text, split; other columns are ignored. split is trimmed and its case ignored; rows with a
-    null query_id, or a null or another split, are in no pair, nor are null, empty and wordless texts. Repeated rows count once.
+    null query_id, or a null or another split, are in no class, nor are null, empty and wordless texts. Repeated rows count once.
     """
     split = F.lower(strip(F.col("split")))
     rows = queries.where(F.col("query_id").isNotNull() & split.isin("train", "dev", "test")).select("query_id", (split == "train").alias("train"), "text")
     rows = written(word_classes(rows).select("query_id", "train", "cls", "_w").dropDuplicates(["query_id", "train", "cls"]), "members")
     sides = rows.groupBy("cls").agg(F.max("train").alias("t"), F.max(~F.col("train")).alias("e"), F.first("_w").alias("_w"))
     classes = written(ordered_words(sides.select("cls", "_w")).join(sides.select("cls", "t", "e"), "cls"), "classes")
-    pairs = segment_pairs(classes.where("e").select("cls", "words", "counts"), classes.where("t").select("cls", "words"), threshold)
+    links = segment_pairs(classes.where("e").select("cls", "words", "counts"), classes.where("t").select("cls", "words"), threshold)
+    return rows.select("query_id", "train", "cls"), links
+
+
+def cross_split_pairs(queries: DataFrame, *, threshold: float = 0.7) -> DataFrame:
+    """(query_a, query_b), query_a < query_b, distinct: texts of dev or test that stand, exactly or nearly, in train; see cross_split_links."""
+    rows, pairs = cross_split_links(queries, threshold=threshold)
     e = rows.where("not train").select(F.col("cls").alias("cls_e"), F.col("query_id").alias("qe"))
     t = rows.where("train").select(F.col("cls").alias("cls_t"), F.col("query_id").alias("qt"))
     both = pairs.join(e, "cls_e").join(t, "cls_t").where("qe <> qt")
     return both.select(F.least("qe", "qt").alias("query_a"), F.greatest("qe", "qt").alias("query_b")).distinct()
 
 
+def link_counts(queries: DataFrame, *, threshold: float = 0.7) -> DataFrame:
+    """(query_id, train, class_id, n_links): one row per query, side and class; n_links counts classes of the other side that overlap with it, its own included if it stands there too."""
+    rows, links = cross_split_links(queries, threshold=threshold)
+    links = written(links, "links")
+    n = links.groupBy(F.col("cls_e").alias("cls"), F.lit(False).alias("train")).agg(F.count(F.lit(1)).alias("n")).unionByName(links.groupBy(F.col("cls_t").alias("cls"), F.lit(True).alias("train")).agg(F.count(F.lit(1)).alias("n")))
+    return rows.join(n, ["cls", "train"], "left").select("query_id", "train", F.hex("cls").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
 def overlap_report(queries: DataFrame, pairs: DataFrame) -> DataFrame:
     """(split, source, n_queries, n_overlapping): evaluation queries per split and source, and how many overlap with train. A null source stays null."""
     split = F.lower(strip(F.col("split")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.bpe import decode, encode, token_count
 from tidewater.llm.forest import all_pairs, groups, latest_texts, near_duplicates
 from tidewater.llm.ocr import Repair
-from tidewater.llm.overlap import cross_split_pairs, overlap_report
+from tidewater.llm.overlap import cross_split_pairs, link_counts, overlap_report
 from tidewater.llm.packing import duplicate_clusters, pack, packing_faults, packing_report, sized_items
 from tidewater.llm.pii import find_mentions, redact
 from tidewater.llm.topn import top_documents
@@ -23,6 +23,10 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap_report(table(spark, d, "queries"), p2_found(spark, d))
 
 
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    return link_counts(table(spark, d, "queries"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return Repair(table(spark, d, "document_snapshots")).lines()
 
@@ -85,7 +89,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_repaired, p4_paths, p5_found, p7_found, p7_groups, p8_ids, p8_round_trip, p9_packing, p9_report, p9_faults, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_links, p4_found, p4_repaired, p4_paths, p5_found, p7_found, p7_groups, p8_ids, p8_round_trip, p9_packing, p9_report, p9_faults, p10_found, p10_redacted)}
 
 _KEY = r"regexp_replace(doc_id, '^\s+|\s+$', '', 'g')"
 
@@ -106,6 +110,17 @@ r AS (SELECT DISTINCT query_id, lower(trim(split)) AS split, source FROM queries
 SELECT split, source, count(*) AS n_queries, count(h.query_id) AS n_overlapping FROM r LEFT JOIN h USING (query_id) GROUP BY 1, 2
 """
 
+_P2_LINKS = r"""
+WITH q AS (
+  SELECT DISTINCT query_id, lower(trim(split)) = 'train' AS train, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS w
+  FROM queries WHERE query_id IS NOT NULL AND text IS NOT NULL AND lower(trim(split)) IN ('train', 'dev', 'test')),
+c AS (SELECT DISTINCT train, w FROM q WHERE len(w) > 0),
+x AS (SELECT train, w, unnest(w) AS word FROM c),
+p AS (SELECT e.w AS we, t.w AS wt FROM x AS e JOIN x AS t ON e.word = t.word AND NOT e.train AND t.train GROUP BY 1, 2 HAVING 10 * count(*) >= 7 * (len(e.w) + len(t.w) - count(*))),
+n AS (SELECT false AS train, we AS w, count(*) AS n FROM p GROUP BY 2 UNION ALL SELECT true, wt, count(*) FROM p GROUP BY 2)
+SELECT query_id, train, upper(md5(array_to_string(w, ' '))) AS class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links FROM q LEFT JOIN n USING (train, w) WHERE len(w) > 0
+"""
+
 _P5 = f"""
 WITH r AS (
   SELECT run_name, query_id, {_KEY} AS doc_id, score, CASE WHEN rank > 0 THEN rank ELSE 2147483648 END AS rank
@@ -133,5 +148,6 @@ SQL = {
     "p7_found": _P7,
     "p2_found": _P2,
     "p2_report": _P2_REPORT,
+    "p2_links": _P2_LINKS,
     "p5_found": _P5,
 }
