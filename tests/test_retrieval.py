@@ -338,3 +338,26 @@ def test_date_queries_read_no_texts(spark):
     for f in (rq.daily_counts_velocity, rq.collection_summary):
         plan = f(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
         assert "full_text" not in plan.split("== Physical Plan ==")[1] and "abstract" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_stems_by_hand():
+    from tidewater.functions.stem import porter
+
+    pairs = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration digitizer digit operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formality formal sensitivity sensit triplicate triplic formative form formalize formal electrical electr goodness good revival reviv allowance allow inference infer airliner airlin adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt communism commun activate activ effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll as as naïve naïve".split()
+    assert [(w, porter(w)) for w in pairs[::2]] == list(zip(pairs[::2], pairs[1::2]))
+
+
+def test_analysed_search(spark):
+    d = spark.createDataFrame([("a", "the running dogs"), ("b", "a dog runs"), ("c", "of the"), ("d", None)], "doc_id string, text string")
+    t = spark.createDataFrame([("q", "the run of dogs"), ("n", None)], "query_id string, text string")
+    found = lambda **k: {r.doc_id for r in lexical.bm25(d, t, 5, analysis=lexical.Analysis(**k)).collect()}
+    assert found() == {"a", "c"} and found(stop=lexical.STOP_WORDS) == {"a"} and found(stop=lexical.STOP_WORDS, stem=True) == {"a", "b"}
+    assert found(stop=lexical.STOP_WORDS, idf="plain") == {"a"}
+    with pytest.raises(ValueError):
+        found(idf="other")
+
+
+def test_ties_in_the_order_of_lines(spark):
+    r = spark.createDataFrame([("x", "q", "b", 1.0, 0), ("x", "q", "a", 1.0, 1)], "run_name string, query_id string, doc_id string, score double, line_no long")
+    j = spark.createDataFrame([("q", "b", 1)], "query_id string, doc_id string, relevance int")
+    assert per_query(r, j, ["map"], tie="line_no").first().map == 1.0 and per_query(r, j, ["map"]).first().map == 0.5

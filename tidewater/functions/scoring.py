@@ -6,8 +6,12 @@ from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 
-def bm25_idf(n: Column, df: Column) -> Column:
-    return F.log1p((n - df + 0.5) / (df + 0.5))
+def bm25_idf(n: Column, df: Column, kind: str = "plus") -> Column:
+    """`plus`: ln(1 + x), never negative; `plain`: ln(x)."""
+    if kind not in ("plus", "plain"):
+        raise ValueError(f"unknown idf: {kind}")
+    x = (n - df + 0.5) / (df + 0.5)
+    return F.log1p(x) if kind == "plus" else F.log(x)
 
 
 def bm25_term(tf: Column, length: Column, mean_length: Column, k1: float, b: float) -> Column:

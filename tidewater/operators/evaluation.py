@@ -25,19 +25,19 @@ def latest_qrels(qrels: DataFrame) -> DataFrame:
     return qrels.groupBy("query_id", "doc_id").agg(F.max_by(rel, key).alias("relevance"))
 
 
-def per_query(runs: DataFrame, qrels: DataFrame, metrics: list[str], *, preset: str = "builtin", depth: int | None = None, order_by: str = "score", keys: tuple[str, ...] = ("run_name",), decimals: int | None = 6) -> DataFrame:
+def per_query(runs: DataFrame, qrels: DataFrame, metrics: list[str], *, preset: str = "builtin", depth: int | None = None, order_by: str = "score", keys: tuple[str, ...] = ("run_name",), decimals: int | None = 6, tie: str = "doc_id") -> DataFrame:
     """One row per run and judged query with its metrics.
 
     builtin: gain 2**rel-1, ties by doc_id, every judged query counts (0 where the run has nothing).
     trec: gain rel, ties by doc_id descending, only queries that the run has.
     runs(*keys, query_id, doc_id, score[, rank]); qrels(query_id, doc_id, relevance), with keys too if these slice judgments.
-    Scores are rounded to `decimals` first, as run files carry them. Whole runs count, or only their first `depth` documents.
+    tie: what orders equal scores instead of doc_id, such as line_no, the place in a run file. Scores are rounded to `decimals` first, as run files carry them. Whole runs count, or only their first `depth` documents.
     """
     trec = preset == "trec"
     keys = list(keys)
     sliced = [k for k in keys if k in qrels.columns]
     score = F.col("score") if decimals is None else F.round("score", decimals)
-    order = [F.col("rank")] if order_by == "rank" else [score.desc(), F.col("doc_id").desc() if trec else F.col("doc_id")]
+    order = [F.col("rank")] if order_by == "rank" else [score.desc(), F.col("doc_id").desc() if trec and tie == "doc_id" else F.col(tie)]
     ranked = runs.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "query_id").orderBy(*order)))
     if depth is not None:
         ranked = ranked.where(F.col("r") <= depth)

@@ -6,10 +6,15 @@ are asked for before anything is shuffled by term, and the top k of a query are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.scoring import bm25_idf, bm25_term
+from tidewater.functions.stem import porter
 from tidewater.functions.text import bm25_tokens
 from tidewater.session import bounded, written
 
@@ -22,9 +27,50 @@ def top_k(scored: DataFrame, k: int, *, group: tuple[str, ...] = ("query_id",),
     return scored.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def tokenized(docs: DataFrame) -> DataFrame:
+#: Words that a search may leave out.
+STOP_WORDS = tuple(
+    """a about after all also an and any are as at be because been before between both but by can could did do does for from had has have he her his how if in into is it its
+    may more most no not of on only or other our over she should so some such than that the their them then there these they this those through to under up was we were what when where
+    which while who will with would you""".split()
+)
+
+
+@dataclass(frozen=True)
+class Analysis:
+    """How tokens become terms, and a ranking's inverse document frequency: `plus` is ln(1 + x), `plain` is ln(x), which is negative for words of more than half of all documents."""
+
+    stop: tuple[str, ...] = ()
+    stem: bool = False
+    idf: str = "plus"
+
+
+PLAIN = Analysis()
+
+
+def analysed(rows: DataFrame, a: Analysis) -> DataFrame:
+    """rows(key, tokens) with tokens as terms: stop words are dropped, the others stemmed, in this order."""
+    if a.stop:
+        rows = rows.withColumn("tokens", F.filter("tokens", lambda x: ~x.isin(*a.stop)))
+    if a.stem:
+
+        def stems(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known: dict[str, str] = {}
+            for pdf in frames:
+                if len(known) > 1_000_000:
+                    known.clear()
+                for words in pdf["tokens"]:
+                    for w in words:
+                        if w not in known:
+                            known[w] = porter(w)
+                yield pdf.assign(tokens=[[known[w] for w in words] for words in pdf["tokens"]])
+
+        rows = rows.mapInPandas(stems, rows.schema)
+    return rows
+
+
+def tokenized(docs: DataFrame, analysis: Analysis = PLAIN) -> DataFrame:
     """docs(doc_id, text) to (doc_id, tokens, length). Documents without words stay, with length 0."""
-    return docs.select("doc_id", bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("length", F.size("tokens").cast("long"))
+    return analysed(docs.select("doc_id", bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens")), analysis).withColumn("length", F.size("tokens").cast("long"))
 
 
 def postings(tokens: DataFrame) -> DataFrame:
@@ -40,12 +86,13 @@ def document_frequencies(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def query_terms(topics: DataFrame) -> DataFrame:
+def query_terms(topics: DataFrame, analysis: Analysis = PLAIN) -> DataFrame:
     """(query_id, term, weight): a repeated word weighs as often as it stands."""
-    return topics.select("query_id", F.explode(bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    tokens = analysed(topics.select("query_id", bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens")), analysis)
+    return tokens.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def bm25_scores(tokens: DataFrame, weighted: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_scores(tokens: DataFrame, weighted: DataFrame, k1: float = K1, b: float = B, idf: str = "plus") -> DataFrame:
     """(query_id, doc_id, score > 0) of weighted query terms (query_id, term, weight)."""
     weighted = written(weighted, "weights")
     asked = weighted.select("term").distinct()
@@ -53,13 +100,13 @@ def bm25_scores(tokens: DataFrame, weighted: DataFrame, k1: float = K1, b: float
     # Where the asked terms are few, postings are folded where their documents are: a frequent term is no hot key.
     post = tokens.select("doc_id", "length", F.explode("tokens").alias("term")).join(bounded(asked, n), "term", "left_semi")
     post = written(post.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    return posting_scores(post, document_frequencies(post), collection_stats(tokens), weighted, k1, b, n)
+    return posting_scores(post, document_frequencies(post), collection_stats(tokens), weighted, k1, b, n, idf)
 
 
-def posting_scores(post: DataFrame, df: DataFrame, stats: DataFrame, weighted: DataFrame, k1: float = K1, b: float = B, n_terms: int | None = None) -> DataFrame:
+def posting_scores(post: DataFrame, df: DataFrame, stats: DataFrame, weighted: DataFrame, k1: float = K1, b: float = B, n_terms: int | None = None, idf: str = "plus") -> DataFrame:
     """(query_id, doc_id, score > 0) from an index: post(doc_id, term, tf, length) and df(term, df) of the asked terms, stats (one row)."""
     # what a posting adds to any query is worked out once, before postings meet queries
-    impact = bm25_idf(F.col("n_docs"), F.col("df")) * bm25_term(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)
+    impact = bm25_idf(F.col("n_docs"), F.col("df"), idf) * bm25_term(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)
     post = post.join(bounded(df, n_terms), "term").crossJoin(F.broadcast(stats)).select("term", "doc_id", impact.alias("impact"))  # a single row
     met = post.join(bounded(weighted), "term")
     return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("score")).where("score > 0")
@@ -80,9 +127,9 @@ def indexed_search(post: DataFrame, df: DataFrame, stats: DataFrame, topics: Dat
     return top_k(posting_scores(post, df, stats, weighted, k1, b), k)
 
 
-def bm25(docs: DataFrame, topics: DataFrame, k: int = 1000, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(docs: DataFrame, topics: DataFrame, k: int = 1000, k1: float = K1, b: float = B, analysis: Analysis = PLAIN) -> DataFrame:
     """(query_id, doc_id, score, rank) over docs(doc_id, text) for topics(query_id, text)."""
-    return top_k(bm25_scores(written(tokenized(docs), "tokens"), query_terms(topics), k1, b), k)
+    return top_k(bm25_scores(written(tokenized(docs, analysis), "tokens"), query_terms(topics, analysis), k1, b, analysis.idf), k)
 
 
 def relevance_model(tokens: DataFrame, feedback: DataFrame, terms: int = 10) -> DataFrame:

@@ -30,7 +30,7 @@ def evaluate(run: DataFrame, qrels: DataFrame | None, metrics: list[str], folder
     if qrels is None:
         status_row(spark, name, metrics).coalesce(1).write.mode("overwrite").json(f"{folder}/metrics")
         return None
-    scores = written(per_query(run.withColumn("run_name", F.lit(name)), qrels, metrics), "scores")
+    scores = written(per_query(run.withColumn("run_name", F.lit(name)), qrels, metrics, tie="line_no" if "line_no" in run.columns else "doc_id"), "scores")
     write_csv(scores.drop("run_name").orderBy("query_id").coalesce(1), f"{folder}/per_query.csv")
     means = mean_metrics(scores, metrics).first()
     got = {m: means[m] if means else 0.0 for m in metrics}
@@ -39,8 +39,8 @@ def evaluate(run: DataFrame, qrels: DataFrame | None, metrics: list[str], folder
 
 
 def evaluate_file(spark: SparkSession, path: str, qrels: DataFrame | None, metrics: list[str], folder: str, name: str, snapshot_id: str = "") -> dict[str, float] | None:
-    """A stored run; a document that a query lists twice counts once, with the last line's score."""
-    return evaluate(read_run(spark, path, keep_rows=False), qrels, metrics, folder, name, snapshot_id)
+    """A stored run; a document that a query lists twice counts once, with the last line's score; ties are in the file's order."""
+    return evaluate(read_run(spark, path, keep_rows=False, keep_lines=True), qrels, metrics, folder, name, snapshot_id)
 
 
 def fuse_files(spark: SparkSession, paths: list[str], folder: str, name: str, qrels: DataFrame | None = None, metrics: Iterable[str] = ("map",), k: int = 60, top: int = 1000, tell: Callable | None = None) -> dict[str, float] | None:

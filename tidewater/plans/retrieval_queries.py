@@ -84,6 +84,16 @@ def bm25_topk_ft(s, d):
     return _run(lexical.bm25(td.viewed(s, d, "full_text"), td.topics(s, d), 100))
 
 
+@query
+def bm25_stopped_topk(s, d):
+    return _run(lexical.bm25(td.viewed(s, d), td.topics(s, d), 100, 1.2, analysis=lexical.Analysis(stop=lexical.STOP_WORDS)))
+
+
+@query
+def bm25_stemmed_topk(s, d):
+    return _run(lexical.bm25(td.viewed(s, d), td.topics(s, d), 100, 1.2, analysis=lexical.Analysis(stop=lexical.STOP_WORDS, stem=True)))
+
+
 @query
 def bm25_frozen_cutoff(s, d):
     return _run(lexical.bm25(td.viewed(s, d).where(F.col("published_s") <= FROZEN), td.topics(s, d), 100))

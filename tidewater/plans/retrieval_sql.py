@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from tidewater.functions import cues
+from tidewater.operators.lexical import STOP_WORDS
 from tidewater.operators.overlay import WEIGHTS
 from tidewater.plans.retrieval_queries import AFTER, AT, BASELINE, CUT, FROZEN, WINDOW_END, WINDOW_START
 
@@ -313,6 +314,7 @@ SQL = {
     "bm25_df_idf": _with(_tokens("ta"), "SELECT term, df, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 6) AS idf FROM dfs CROSS JOIN st"),
     "bm25_topk_ta": _with(_bm25("ta", 100), _RUN + "bm"),
     "bm25_topk_ft": _with(_bm25("ft", 100), _RUN + "bm"),
+    "bm25_stopped_topk": _with({n: q.replace("unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term", f"unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: x NOT IN {STOP_WORDS})) AS term").replace("regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS tokens", f"list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: x NOT IN {STOP_WORDS}) AS tokens").replace("tf * 2.5 / (tf + 1.5 *", "tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE *") for n, q in _bm25("ta", 100).items()}, _RUN + "bm"),
     "bm25_stored_index": _with(_bm25("ta", 100), _RUN + "bm"),
     "bm25_frozen_cutoff": _with(_bm25("early", 100), _RUN + "bm"),
     "rm3_terms": _with(_RM3, "SELECT query_id, term, round(weight, 6) AS weight FROM ex"),

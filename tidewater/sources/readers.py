@@ -59,11 +59,12 @@ def read_qrels_text(spark: SparkSession, path: str) -> DataFrame:
     return _split_lines(spark, path, 4, ["query_id", "", "doc_id", "relevance"]).withColumn("relevance", F.col("relevance").cast("int"))
 
 
-def read_run(spark: SparkSession, path: str, keep_rows: bool = True) -> DataFrame:
-    """A run file. keep_rows: as it stands, with rank and name; else one row per query and document, the last line's score."""
+def read_run(spark: SparkSession, path: str, keep_rows: bool = True, keep_lines: bool = False) -> DataFrame:
+    """A run file. keep_rows: as it stands, with rank and name; else one row per query and document, the last line's score. keep_lines: with line_no, the place in the file (of repeated documents the last)."""
     rows = _split_lines(spark, path, 6, ["query_id", "", "doc_id", "rank", "score", "run_name"])
     rows = rows.select("query_id", "doc_id", F.col("score").cast("double").alias("score"), F.col("rank").cast("int").alias("rank"), "run_name", "line_no")
-    return rows.drop("line_no") if keep_rows else rows.groupBy("query_id", "doc_id").agg(F.max_by("score", "line_no").alias("score"))
+    out = rows if keep_rows else rows.groupBy("query_id", "doc_id").agg(F.max_by("score", "line_no").alias("score"), F.max("line_no").alias("line_no"))
+    return out if keep_lines else out.drop("line_no")
 
 
 def read_topics_tsv(spark: SparkSession, path: str) -> DataFrame:
