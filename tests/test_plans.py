@@ -204,3 +204,14 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
     sc = N(master="spark://x", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: no)))
     with pytest.raises(RuntimeError, match="share"):
         session.shared_dir(N(conf=N(get=lambda *a: None), sparkContext=sc))
+
+
+def test_pipelines_reuse_stored_indexes(spark, tmp_path):
+    topics = spark.createDataFrame([("q", "cat sat")], "query_id string, text string")
+    plain = config.Experiment(snapshots=("s1",), retrieval=config.Retrieval(top_k=5))
+    kept = config.Experiment(snapshots=("s1",), retrieval=config.Retrieval(top_k=5, index_root=str(tmp_path)))
+    want = rows(pipelines.run(docs(spark), topics, plain))
+    assert rows(pipelines.run(docs(spark), topics, kept)) == want
+    live = reindex.live_version(spark, str(tmp_path / "s1" / "title_abstract"))
+    assert rows(pipelines.run(docs(spark).limit(0), topics, kept)) == want  # read, not built
+    assert reindex.live_version(spark, str(tmp_path / "s1" / "title_abstract")) == live

@@ -16,6 +16,8 @@ class Retrieval:
     top_k: int = 1000
     k1: float = 1.5
     b: float = 0.75
+    #: Folder of stored indexes, a folder per snapshot and text mode. What stands there is searched, what doesn't is built.
+    index_root: str = ""
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,9 @@ from tidewater.operators import dense, fusion, lexical
 from tidewater.operators.citations import signals
 from tidewater.operators.evaluation import mean_metrics, per_query
 from tidewater.operators.overlay import evaluation_time, overlay
+from tidewater.plans import reindex
 from tidewater.plans.bundles import Bundle
-from tidewater.plans.config import Experiment
+from tidewater.plans.config import Experiment, for_snapshot
 from tidewater.session import written
 from tidewater.sources.writers import status_row, write_csv, write_run
 
@@ -31,7 +33,20 @@ def _view(docs: DataFrame, mode: str) -> DataFrame:
 
 
 def _bm25(docs: DataFrame, topics: DataFrame, e: Experiment, mode: str, k: int | None = None) -> DataFrame:
-    return lexical.bm25(_view(docs, mode), topics, k or e.retrieval.top_k, e.retrieval.k1, e.retrieval.b)
+    r = e.retrieval
+    if r.index_root:
+        return reindex.search(docs.sparkSession, build_index(docs, e, mode), topics, k or r.top_k, r.k1, r.b)
+    return lexical.bm25(_view(docs, mode), topics, k or r.top_k, r.k1, r.b)
+
+
+def build_index(docs: DataFrame, e: Experiment, mode: str) -> str:
+    """The folder of the stored index of one snapshot and text mode; it is built and promoted if none is live there."""
+    spark, root = docs.sparkSession, f"{e.retrieval.index_root}/{'-'.join(e.snapshots) or 'all'}/{mode}"
+    if reindex.live_version(spark, root) is None:
+        version = f"v{time.time_ns()}"
+        reindex.build(_view(docs, mode).select("doc_id", "text"), root, version)
+        reindex.promote(spark, root, version)
+    return root
 
 
 def _rm3(docs: DataFrame, topics: DataFrame, e: Experiment, mode: str) -> DataFrame:
@@ -117,7 +132,7 @@ def run_snapshots(spark: SparkSession, load: Callable[[str], Bundle | tuple], e:
             evidence = b.evidence if b.evidence is not None else evidence_of(b.docs, e.retrieval.text)
             at_s = evaluation_time(evidence, name, b.timestamp, e.overlay)
         qrels = b.qrels
-        r = written(run(b.docs, b.topics, e, evidence, at_s), "run")
+        r = written(run(b.docs, b.topics, for_snapshot(e, name), evidence, at_s), "run")
         folder = f"{e.output_dir}/{e.name}/{name}"
         write_run(r, f"{folder}/run")
         if qrels is None:
