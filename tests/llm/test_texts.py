@@ -249,6 +249,12 @@ def test_scan_lines(spark):
     assert sorted(got) == [("d1", 1, "furniture"), ("d1", 3, "split_word"), ("d1", 4, "misread"), ("d1", 5, "split_word"), ("d1", 7, "furniture"), ("d1", 9, "misread"), ("d1", 11, "misread")]
 
 
+def test_scan_lines_where_texts_are_written_first(spark, monkeypatch):
+    want = rows(ocr.Repair(corpus(spark)).lines())
+    monkeypatch.setattr(ocr, "BROADCAST_ROWS", 0)
+    assert rows(ocr.Repair(corpus(spark)).lines()) == want
+
+
 def test_scan_repair(spark):
     got = {r.doc_id: r.text for r in ocr.Repair(corpus(spark)).texts().collect()}
     assert got["d1"] == (

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.operators.snapshots import doc_key
-from tidewater.session import bounded, written
+from tidewater.session import BROADCAST_ROWS, bounded, written
 
 #: Most frequent words that are sent to workers to skip them early.
 KNOWN_WORDS = 50_000
@@ -318,7 +318,10 @@ def valid_versions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("version", version)
     valid = written(rows.groupBy("snapshot_id", "doc_id").agg(F.max(F.struct("delivered_at", "version")).alias("v")).select("snapshot_id", "doc_id", "v.version"), "valid")
     one = written(valid.groupBy("doc_id", "version").agg(F.min("snapshot_id").alias("snapshot_id")), "first")
-    texts = rows.drop("delivered_at").join(bounded(one), ["doc_id", "version", "snapshot_id"], "left_semi").drop("snapshot_id")
+    n = one.count()
+    texts = rows.drop("delivered_at").join(bounded(one, n), ["doc_id", "version", "snapshot_id"], "left_semi").drop("snapshot_id")
+    if n > BROADCAST_ROWS:
+        texts = written(texts, "texts")  # the join shuffles texts then: once, not in each of the passes over them
     # a row that was delivered twice stands twice: the copies meet by key, without their texts being compared
     return valid, texts
 
