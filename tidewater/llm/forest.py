@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.operators.snapshots import doc_key, numbered, snapshot_names
-from tidewater.session import bounded, written
+from tidewater.session import BROADCAST_ROWS, bounded, written
 
 TREES, DEPTH, SKETCH = 40, 3, 32
 #: Values of a label that the texts of a region share: all.
@@ -225,8 +225,10 @@ def latest_texts(docs: DataFrame) -> DataFrame:
     rows = numbered(docs.select(doc_key(F.col("doc_id")).alias("key"), "snapshot_id", "delivered_at", "title", "abstract", "full_text").where("key is not null"), names)
     when = F.struct("snap_no", "delivered_at")
     best = written(rows.groupBy("key").agg(F.max(when).alias("w")).select("key", "w.snap_no", "w.delivered_at"), "latest")
-    j = rows.alias("r").join(bounded(best).alias("l"), (F.col("r.key") == F.col("l.key")) & (F.col("r.snap_no") == F.col("l.snap_no")) & F.col("r.delivered_at").eqNullSafe(F.col("l.delivered_at")), "left_semi")
-    return j.select("key", F.concat_ws(" ", "title", "abstract", "full_text").alias("text")).repartition("key")
+    n = best.count()
+    j = rows.alias("r").join(bounded(best, n).alias("l"), (F.col("r.key") == F.col("l.key")) & (F.col("r.snap_no") == F.col("l.snap_no")) & F.col("r.delivered_at").eqNullSafe(F.col("l.delivered_at")), "left_semi")
+    out = j.select("key", F.concat_ws(" ", "title", "abstract", "full_text").alias("text"))
+    return out.repartition("key") if n <= BROADCAST_ROWS else out  # else the join has spread them
 
 
 def _crowd_links(crowds: DataFrame, members: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
