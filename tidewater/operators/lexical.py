@@ -99,7 +99,7 @@ def bm25_scores(tokens: DataFrame, weighted: DataFrame, k1: float = K1, b: float
     n = asked.count()
     # Where the asked terms are few, postings are folded where their documents are: a frequent term is no hot key.
     post = tokens.select("doc_id", "length", F.explode("tokens").alias("term")).join(bounded(asked, n), "term", "left_semi")
-    post = written(post.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    post = post.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))  # used twice, by one exchange
     return posting_scores(post, document_frequencies(post), collection_stats(tokens), weighted, k1, b, n, idf)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.dates import DAY
-from tidewater.operators.evaluation import ideals, mean_metrics, scored
+from tidewater.operators.evaluation import ideals, scored
 from tidewater.session import bounded, written
 
 #: Months of each split, in any year.
@@ -42,12 +42,15 @@ def _evaluated(slices: list[str], counts: DataFrame, runs: DataFrame, run_in: li
     ranked = runs.select("run_name", "query_id", "doc_id", "inside", ranks.alias("ranks"))
     hits = ranked.join(kept.where("relevance > 0"), ["query_id", "doc_id"]).where(F.col("inside")[F.col("no")])
     hits = hits.select("slice", "run_name", "query_id", F.col("ranks")[F.col("no")].alias("r"), "relevance")
-    every = ideals(kept, metrics, ["slice", "query_id"]).crossJoin(F.broadcast(names))
-    means = mean_metrics(scored(every, hits, metrics, ["slice", "run_name", "query_id"]), metrics, keys=("slice", "run_name"))
+    hits = written(hits, "hits")
+    # queries without hits add nothing but to the number of queries that means are over, so they aren't laid out
+    some = hits.select("slice", "run_name", "query_id").distinct().join(ideals(kept, metrics, ["slice", "query_id"]), ["slice", "query_id"])
+    sums = scored(some, hits, metrics, ["slice", "run_name", "query_id"]).groupBy("slice", "run_name").agg(*(F.sum(m).alias(m) for m in metrics))
+    asked = kept.groupBy("slice").agg(F.countDistinct("query_id").alias("n_queries"))
     grid = names.select("run_name", F.explode(F.array(*map(F.lit, slices))).alias("slice"))
-    out = grid.join(means, ["slice", "run_name"], "left").join(F.broadcast(counts), "slice", "left")  # a row per slice
+    out = grid.join(sums, ["slice", "run_name"], "left").join(F.broadcast(asked), "slice", "left").join(F.broadcast(counts), "slice", "left")  # a row per slice
     zero = lambda c, v: F.coalesce(F.col(c), F.lit(v)).alias(c)
-    return out.select("slice", "run_name", zero("n_queries", 0), zero("n_docs", 0), *(zero(m, 0.0) for m in metrics))
+    return out.select("slice", "run_name", zero("n_queries", 0), zero("n_docs", 0), *(F.round(F.coalesce(F.col(m) / F.col("n_queries"), F.lit(0.0)), 6).alias(m) for m in metrics))
 
 
 def _counted(docs: DataFrame, slices: list[str], inside: list[Column]) -> DataFrame:

@@ -120,7 +120,7 @@ def rm3_topk(s, d):
 
 @query
 def delta_merge_stats(s, d):
-    docs = td.viewed(s, d)
+    docs = td.viewed(s, d, keep=True)
     t = written(lexical.tokenized(docs).join(docs.select("doc_id", "published_s"), "doc_id"), "tokens")
     live, delta = t.where(F.col("published_s") <= FROZEN), within(t, FROZEN, WINDOW_END)
     df, one = lexical.merged_stats(live.drop("published_s"), delta.drop("published_s"))
@@ -182,20 +182,20 @@ def union_candidates(s, d):
 
 @query
 def overlap_rerank(s, d):
-    docs, t = td.viewed(s, d), td.topics(s, d)
+    docs, t = td.viewed(s, d, keep=True), td.topics(s, d)
     return _run(fusion.rerank(lexical.bm25(docs, t, 20), t, docs, 20))
 
 
 @query
 def rerank_head_tail(s, d):
-    docs, t = td.viewed(s, d), td.topics(s, d)
+    docs, t = td.viewed(s, d, keep=True), td.topics(s, d)
     base = written(lexical.bm25(docs, t, 50), "run")
     return fusion.splice(base, fusion.rerank(base.where("rank <= 20"), t, docs, 20), 50).select("query_id", "doc_id", *r6("score"), "part", "rank")
 
 
 @query
 def rerank_sweep(s, d):
-    docs, t = td.viewed(s, d), td.topics(s, d)
+    docs, t = td.viewed(s, d, keep=True), td.topics(s, d)
     base, out = written(lexical.bm25(docs, t, 50), "run"), None
     for depth in (10, 20, 50):
         one = fusion.rerank(base.where(F.col("rank") <= depth), t, docs, 10).withColumn("candidate_k", F.lit(depth))
@@ -229,7 +229,7 @@ def vector_topk(s, d):
 
 @query
 def hybrid_rrf_rerank(s, d):
-    docs, t = td.viewed(s, d), td.topics(s, d)
+    docs, t = td.viewed(s, d, keep=True), td.topics(s, d)
     lists = lexical.bm25(docs, t, 20).withColumn("run_name", F.lit("lexical")).unionByName(dense.hash_search(docs, t, 20).withColumn("run_name", F.lit("dense")))
     pool = fusion.rrf_in_order(lists, ["lexical", "dense"], top=40)
     return _run(fusion.rerank(pool, t, docs, 20))
@@ -237,7 +237,7 @@ def hybrid_rrf_rerank(s, d):
 
 @query
 def hybrid_union_rerank(s, d):
-    docs, t = td.viewed(s, d), td.topics(s, d)
+    docs, t = td.viewed(s, d, keep=True), td.topics(s, d)
     lists = lexical.bm25(docs, t, 20).withColumn("run_name", F.lit("lexical")).unionByName(dense.hash_search(docs, t, 20).withColumn("run_name", F.lit("dense")))
     return _run(fusion.rerank(fusion.union_candidates(lists, ["lexical", "dense"], 40), t, docs, 20))
 
@@ -262,7 +262,7 @@ def doc_ages(s, d):
 
 @query
 def lexical_novelty(s, d):
-    docs, t = td.viewed(s, d), td.topics(s, d)
+    docs, t = td.viewed(s, d, keep=True), td.topics(s, d)
     top = lexical.bm25(docs, t, 10).join(t.withColumnRenamed("text", "query"), "query_id").join(docs.select("doc_id", "text"), "doc_id")
     return top.select("query_id", "doc_id", F.round(cues.lexical_novelty(F.col("query"), F.col("text")), 6).alias("novelty"))
 
@@ -281,7 +281,7 @@ def evidence_route(s, d):
 
 
 def _base(s, d):
-    docs = td.viewed(s, d)
+    docs = td.viewed(s, d, keep=True)
     return written(lexical.bm25(docs, td.topics(s, d), 1000), "run"), docs
 
 

@@ -29,7 +29,8 @@ def corpus(spark: SparkSession, d: str, texts: tuple[str, ...] = ()) -> DataFram
     if texts:
         last = written(last, "latest")
         read = table(spark, d, "document_snapshots").select(*texts, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-        last = read.join(bounded(last), ["file", "row"]).drop("file", "row")
+        # spread by key: the latest rows may lie in a few files
+        last = read.join(bounded(last), ["file", "row"]).drop("file", "row").repartition("doc_id")
     published, created = parse_seconds(F.col("published_date")), parse_seconds(F.col("created_date"))
     updated = parse_seconds(F.col("updated_date"))
     month = F.when(F.col("published_date").rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring("published_date", 6, 2).cast("int"))
@@ -37,11 +38,12 @@ def corpus(spark: SparkSession, d: str, texts: tuple[str, ...] = ()) -> DataFram
     return out.withColumn("year", F.year(F.date_from_unix_date(F.floor(F.coalesce("published_s", "updated_s") / 86400).cast("int"))))
 
 
-def viewed(spark: SparkSession, d: str, mode: str = "title_abstract") -> DataFrame:
-    """The corpus with its text in one view, written once, as searches read it several times."""
+def viewed(spark: SparkSession, d: str, mode: str = "title_abstract", keep: bool = False) -> DataFrame:
+    """The corpus with its text in one view. keep: written once, for what reads it several times."""
     docs = corpus(spark, d, _VIEWS[mode])
     text = text_view(mode, *(F.col(c) if c in _VIEWS[mode] else F.lit(None).cast("string") for c in _TEXTS))
-    return written(docs.select("doc_id", text.alias("text"), "published_s", "created_s", "updated_s", "month", "year"), "docs")
+    docs = docs.select("doc_id", text.alias("text"), "published_s", "created_s", "updated_s", "month", "year")
+    return written(docs, "docs") if keep else docs
 
 
 def topics(spark: SparkSession, d: str) -> DataFrame:
