@@ -107,6 +107,8 @@ def posting_scores(post: DataFrame, df: DataFrame, stats: DataFrame, weighted: D
     """(query_id, doc_id, score > 0) from an index: post(doc_id, term, tf, length) and df(term, df) of the asked terms, stats (one row)."""
     # what a posting adds to any query is worked out once, before postings meet queries
     impact = bm25_idf(F.col("n_docs"), F.col("df"), idf) * bm25_term(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)
+    # every posting meets all queries of its term: postings are few bytes, what they become isn't, so they are spread before
+    post = post.repartition(int(post.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     post = post.join(bounded(df, n_terms), "term").crossJoin(F.broadcast(stats)).select("term", "doc_id", impact.alias("impact"))  # a single row
     met = post.join(bounded(weighted), "term")
     return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("score")).where("score > 0")
