@@ -47,6 +47,50 @@ def test_bm25_of_nothing(spark):
     assert rows(lexical.bm25(docs(spark).limit(0), spark.createDataFrame([("q", "cat")], "query_id string, text string"), 10)) == []
 
 
+def texts(n):
+    """Texts of few words, so that many scores tie."""
+    return [(f"d{(i * 7919) % 1000:03d}", " ".join(["cat", "dog", "sat", "eel"][(i >> j) % 4] for j in range(i % 6))) for i in range(n)]
+
+
+def by_hand(texts, topics, k, weights=None):
+    """The ranking that BM25's formula gives, pair by pair."""
+    n, avg = len(texts), sum(len(t.split()) for _, t in texts) / len(texts)
+    df = lambda w: sum(w in t.split() for _, t in texts)
+    idf = {w: math.log1p((n - df(w) + 0.5) / (df(w) + 0.5)) for _, q in topics for w in q.split()}
+    out = set()
+    for q, query in topics:
+        scores = [(d, sum(idf[w] * t.split().count(w) * 2.5 / (t.split().count(w) + 1.5 * (0.25 + 0.75 * len(t.split()) / avg)) for w in query.split())) for d, t in texts]
+        best = sorted((-round(x, 8), d) for d, x in scores if x > 0)[:k]
+        out |= {(q, d, rank, -x) for rank, (x, d) in enumerate(best, 1)}
+    return out
+
+
+TOPICS = [("p", "cat eel"), ("q", "dog"), ("r", "sat sat cat"), ("s", "zebra")]
+
+
+def searched(spark, run):
+    return {(r.query_id, r.doc_id, r["rank"], round(r.score, 8)) for r in run.collect()}
+
+
+@pytest.mark.parametrize("small", [{}, {"CHUNK": 16}, {"CHUNK": 16, "GROUP_BYTES": 400}, {"WEIGHT_ROWS": 2}, {"CHUNK": 8, "BLOCK": 1}])
+def test_bm25_in_chunks_and_blocks(spark, monkeypatch, small):
+    from tidewater.operators import packed
+
+    for name, value in small.items():
+        monkeypatch.setattr(packed, name, value)
+    t = spark.createDataFrame(TOPICS, "query_id string, text string")
+    d = spark.createDataFrame(texts(150), "doc_id string, text string").repartition(2)
+    for k in (3, 20, 1000):
+        assert searched(spark, lexical.bm25(d, t, k)) == by_hand(texts(150), TOPICS, k)
+
+
+def test_bm25_pairs_are_no_rows(spark):
+    """Blocks of queries meet chunks of documents; only the best of each query leave a task."""
+    t = spark.createDataFrame(TOPICS, "query_id string, text string")
+    plan = lexical.bm25(spark.createDataFrame(texts(50), "doc_id string, text string"), t, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Aggregate" not in plan
+
+
 def test_merged_index_equals_rebuilt(spark):
     t = lexical.tokenized(docs(spark))
     df, stats = lexical.merged_stats(t.where("doc_id in ('a', 'c')"), t.where("doc_id not in ('a', 'c')"))
