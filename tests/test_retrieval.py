@@ -226,6 +226,19 @@ def test_vectors(spark):
     assert {r.doc_id: round(r.n, 6) for r in h.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()} == {"a": 1, "b": 1, "e": 1}
 
 
+@pytest.mark.parametrize("numbers", [4_000_000, 256])
+def test_hash_search_is_every_pair(spark, monkeypatch, numbers):
+    """Also where few documents have a component in common with the query, or only opposite ones."""
+    monkeypatch.setattr(dense, "QUERY_NUMBERS", numbers)
+    t, d = spark.createDataFrame([*TOPICS, ("n", None)], "query_id string, text string"), spark.createDataFrame([*texts(60), ("x", None), ("y", "w1 w2 w3 w4 w5 w6")], "doc_id string, text string").repartition(2)
+    v = {key: dense.hash_embedding(x, key) for x, key in ((d, "doc_id"), (t, "query_id"))}
+    pairs = v["doc_id"].join(v["query_id"].withColumnRenamed("weight", "qw"), "bucket").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
+    for k in (5, 100):
+        got = dense.hash_search(d, t, k)
+        assert searched(spark, got) == searched(spark, lexical.top_k(pairs, k))
+        assert "SortMergeJoin" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin" not in plan and "MapInArrow" in plan
+
+
 def test_month_split_of_all_months_is_everything(spark):
     d = spark.createDataFrame([("a", 1, 3), ("b", 2, 4), ("u", None, None)], "doc_id string, published_s long, month int")
     r = spark.createDataFrame([("x", "q", "a", 2.0, 1), ("x", "q", "b", 1.0, 2)], RUNS)
