@@ -418,3 +418,25 @@ def test_ties_in_the_order_of_lines(spark):
     r = spark.createDataFrame([("x", "q", "b", 1.0, 0), ("x", "q", "a", 1.0, 1)], "run_name string, query_id string, doc_id string, score double, line_no long")
     j = spark.createDataFrame([("q", "b", 1)], "query_id string, doc_id string, relevance int")
     assert per_query(r, j, ["map"], tie="line_no").first().map == 1.0 and per_query(r, j, ["map"]).first().map == 0.5
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def plan_of(df, optimized=False):
+    x = df._jdf.queryExecution()
+    return (x.optimizedPlan() if optimized else x.executedPlan()).toString()
+
+
+def overlaid(spark, mode):
+    t = spark.createDataFrame([("q", "recent cat"), ("p", "dog")], "query_id string, text string")
+    run = spark.createDataFrame([("q", "a", 2.0, 1), ("q", "b", 1.0, 2), ("p", "a", 1.0, 1), ("none", "a", 1.0, 1)], "query_id string, doc_id string, score double, rank int")
+    d = docs(spark).selectExpr("doc_id", "text", "1.0e9 as published_s", "cast(null as long) as updated_s", "2001 as year", "1L as total_in", *(f"1.0D as sig_{n}" for n in cit.SIGNALS))
+    return overlay(run, t, d, 1_700_000_000, Settings(mode=mode))
+
+
+def test_overlay_additive_splits_each_text_once(spark):
+    """The only split is of documents, before they meet queries; texts don't go on with the pairs."""
+    got = overlaid(spark, "additive")
+    assert plan_of(got, True).count("regexp_extract_all") == 1
+    assert {(r.query_id, r.doc_id) for r in got.collect()} == {("q", "a"), ("q", "b"), ("p", "a")}
