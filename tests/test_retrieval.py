@@ -440,3 +440,8 @@ def test_overlay_additive_splits_each_text_once(spark):
     got = overlaid(spark, "additive")
     assert plan_of(got, True).count("regexp_extract_all") == 1
     assert {(r.query_id, r.doc_id) for r in got.collect()} == {("q", "a"), ("q", "b"), ("p", "a")}
+
+
+def test_overlay_router_splits_each_text_once(spark):
+    got = overlaid(spark, "router")
+    assert plan_of(got, True).count("regexp_extract_all") == 1 and got.count() == 3
