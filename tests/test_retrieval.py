@@ -450,3 +450,8 @@ def test_overlay_router_splits_each_text_once(spark):
 def test_overlay_citation_only_reads_no_text_with_its_pairs(spark):
     got = overlaid(spark, "citation_only")
     assert "regexp_extract_all" not in plan_of(got, True) and got.count() == 3  # queries' profiles are written, texts aren't needed
+
+
+def test_overlay_direct_splits_each_text_once(spark):
+    got = overlaid(spark, "direct")
+    assert plan_of(got, True).count("regexp_extract_all") == 1 and got.count() == 3
