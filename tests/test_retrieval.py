@@ -455,3 +455,24 @@ def test_overlay_citation_only_reads_no_text_with_its_pairs(spark):
 def test_overlay_direct_splits_each_text_once(spark):
     got = overlaid(spark, "direct")
     assert plan_of(got, True).count("regexp_extract_all") == 1 and got.count() == 3
+
+
+def test_rerank_splits_each_text_once(spark):
+    t = spark.createDataFrame([("q", "dog the the")], "query_id string, text string")
+    base = spark.createDataFrame([("q", "a", 9.0, 1), ("q", "e", 7.0, 2)], "query_id string, doc_id string, score double, rank int")
+    got = fusion.rerank(base, t, docs(spark), 3)
+    assert plan_of(got, True).count("split(") == 2 and [r.doc_id for r in got.orderBy("rank").collect()] == ["e", "a"]
+
+
+def test_hybrid_rrf_rerank_without_rows_of_components(spark):
+    from tidewater.plans import retrieval_queries as q
+
+    plan = plan_of(q.hybrid_rrf_rerank(spark, SMALL), True)
+    assert "bucket" not in plan and "MapInArrow" in plan and plan.count("split(") == 2  # of queries and of texts, before they meet
+
+
+def test_hybrid_union_rerank_without_rows_of_components(spark):
+    from tidewater.plans import retrieval_queries as q
+
+    plan = plan_of(q.hybrid_union_rerank(spark, SMALL), True)
+    assert "bucket" not in plan and "MapInArrow" in plan and plan.count("split(") == 2  # of queries and of texts, before they meet
