@@ -476,3 +476,24 @@ def test_hybrid_union_rerank_without_rows_of_components(spark):
 
     plan = plan_of(q.hybrid_union_rerank(spark, SMALL), True)
     assert "bucket" not in plan and "MapInArrow" in plan and plan.count("split(") == 2  # of queries and of texts, before they meet
+
+
+def test_rerank_sweep_scores_each_pair_once(spark):
+    from tidewater.plans import retrieval_queries as q
+
+    assert "split(" not in plan_of(q.rerank_sweep(spark, SMALL), True)
+
+
+def test_lexical_novelty_splits_each_text_once(spark):
+    from tidewater.plans import retrieval_queries as q
+
+    assert plan_of(q.lexical_novelty(spark, SMALL), True).count("regexp_extract_all") == 2  # of queries and of texts, before they meet
+
+
+def test_query_profile_ranks_what_it_looks_at(spark, monkeypatch):
+    from tidewater.plans import retrieval_queries as q
+
+    depths, bm25 = [], lexical.bm25
+    monkeypatch.setattr(lexical, "bm25", lambda d, t, k, *a, **o: depths.append(k) or bm25(d, t, k, *a, **o))
+    assert q.query_profile(spark, SMALL).count() == q.td.topics(spark, SMALL).count()
+    assert depths == [Settings().profile_top]
