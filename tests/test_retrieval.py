@@ -497,3 +497,15 @@ def test_query_profile_ranks_what_it_looks_at(spark, monkeypatch):
     monkeypatch.setattr(lexical, "bm25", lambda d, t, k, *a, **o: depths.append(k) or bm25(d, t, k, *a, **o))
     assert q.query_profile(spark, SMALL).count() == q.td.topics(spark, SMALL).count()
     assert depths == [Settings().profile_top]
+
+
+@pytest.mark.parametrize("most_terms", [2000, 1])
+def test_stored_index_in_chunks(spark, monkeypatch, most_terms):
+    from tidewater.operators import packed
+
+    monkeypatch.setattr(packed, "CHUNK", 16)
+    t, d = (spark.createDataFrame(x, f"{key} string, text string") for x, key in ((TOPICS, "query_id"), (texts(150), "doc_id")))
+    tokens = lexical.tokenized(d)
+    post = lexical.postings(tokens)
+    got = lexical.indexed_search(post, lexical.document_frequencies(post), lexical.collection_stats(tokens), t, 20, most_terms=most_terms)
+    assert "Exchange" not in plan_of(got) and searched(spark, got) == by_hand(texts(150), TOPICS, 20)
