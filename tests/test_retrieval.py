@@ -509,3 +509,14 @@ def test_stored_index_in_chunks(spark, monkeypatch, most_terms):
     post = lexical.postings(tokens)
     got = lexical.indexed_search(post, lexical.document_frequencies(post), lexical.collection_stats(tokens), t, 20, most_terms=most_terms)
     assert "Exchange" not in plan_of(got) and searched(spark, got) == by_hand(texts(150), TOPICS, 20)
+
+
+def test_rm3_terms_without_rows_of_pairs(spark):
+    """Feedback documents are the best 3 by hand, and what they were found from is no shuffled pairs."""
+    t, d = (spark.createDataFrame(x, f"{key} string, text string") for x, key in ((TOPICS, "query_id"), (texts(60), "doc_id")))
+    best = lexical.ranked(lexical.tokenized(d), lexical.query_terms(t), 3)
+    assert "Exchange" not in plan_of(best) and searched(spark, best) == by_hand(texts(60), TOPICS, 3)
+    w = {}
+    for r in lexical.expanded_terms(lexical.tokenized(d), t).collect():
+        w[r.query_id] = w.get(r.query_id, 0) + r.weight
+    assert w == pytest.approx({"p": 1, "q": 1, "r": 1, "s": 0.6})  # nothing was found for s
