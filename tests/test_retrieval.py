@@ -520,3 +520,10 @@ def test_rm3_terms_without_rows_of_pairs(spark):
     for r in lexical.expanded_terms(lexical.tokenized(d), t).collect():
         w[r.query_id] = w.get(r.query_id, 0) + r.weight
     assert w == pytest.approx({"p": 1, "q": 1, "r": 1, "s": 0.6})  # nothing was found for s
+
+
+def test_rm3_topk_without_rows_of_pairs(spark):
+    t, d = (spark.createDataFrame(x, f"{key} string, text string") for x, key in ((TOPICS, "query_id"), (texts(60), "doc_id")))
+    got = lexical.rm3(d, t, 5)
+    assert "Exchange" not in plan_of(got) and "MapInArrow" in plan_of(got)
+    assert {r.query_id: r.n for r in got.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {"p": 5, "q": 5, "r": 5}
