@@ -527,3 +527,9 @@ def test_rm3_topk_without_rows_of_pairs(spark):
     got = lexical.rm3(d, t, 5)
     assert "Exchange" not in plan_of(got) and "MapInArrow" in plan_of(got)
     assert {r.query_id: r.n for r in got.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {"p": 5, "q": 5, "r": 5}
+
+
+def test_full_text_search_without_rows_of_pairs(spark):
+    from tidewater.plans import retrieval_queries as q
+
+    assert "Exchange" not in (plan := plan_of(q.bm25_topk_ft(spark, SMALL))) and "MapInArrow" in plan
