@@ -533,3 +533,22 @@ def test_full_text_search_without_rows_of_pairs(spark):
     from tidewater.plans import retrieval_queries as q
 
     assert "Exchange" not in (plan := plan_of(q.bm25_topk_ft(spark, SMALL))) and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("mode", ["direct", "citation_only", "router"])
+def test_overlay_of_numbered_run_ranks_heads_only(spark, mode):
+    """The same rows as of a ranking of head and tail together; no tail row is shuffled for its place."""
+    t = spark.createDataFrame([("q", "recent cat"), ("p", "dog seminal")], "query_id string, text string")
+    run = spark.createDataFrame([(q, f"d{(i * 7 + n) % 40}", 50.0 - i // 3, i) for n, q in enumerate(("q", "p", "none")) for i in range(1, 30 + n)], "query_id string, doc_id string, score double, rank int")
+    d = spark.range(30).selectExpr("concat('d', id) as doc_id", "element_at(array('recent novel cat', 'a dog', 'updated things', ''), 1 + cast(id % 4 as int)) as text", "1.6e9 + id * 3000000 as published_s", "cast(null as long) as updated_s", "2001 + cast(id % 20 as int) as year", "id % 13 as total_in", *(f"double(id % {k + 3}) as sig_{n}" for k, n in enumerate(cit.SIGNALS)))
+    for tail, top, n in (("raw", 12, 24), ("rescale", 1000, 59)):
+        whole, heads = (overlay(run, t, d, 1_700_000_000, Settings(mode=mode, head=8, tail=tail), top, numbered=x) for x in (False, True))
+        assert whole.schema == heads.schema and rows(whole) == rows(heads) and heads.count() == n
+    plan = plan_of(overlay(run, t, d, 1_700_000_000, Settings(mode=mode, head=8), numbered=True), True)
+    assert plan.rindex("Window") > plan.index("Union")  # under the union: of heads
+
+
+def test_novelty_of_known_words(spark):
+    q, d = F.lit("a new recent"), F.lit("a recent novel latest old")
+    one_ = lambda known: one(spark, cues.novelty(cues.token_set(q), cues.token_set(d), cues.novelty_words(cues.token_set(d)) if known else None))
+    assert one_(True) == one_(False) == pytest.approx(0.4 + 0.1 * 3 / 5)
