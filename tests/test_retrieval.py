@@ -552,3 +552,14 @@ def test_novelty_of_known_words(spark):
     q, d = F.lit("a new recent"), F.lit("a recent novel latest old")
     one_ = lambda known: one(spark, cues.novelty(cues.token_set(q), cues.token_set(d), cues.novelty_words(cues.token_set(d)) if known else None))
     assert one_(True) == one_(False) == pytest.approx(0.4 + 0.1 * 3 / 5)
+
+
+def heads_alone_are_ranked(plan):
+    """The union of heads and tails is the outermost of the optimized plan's steps that rank, so no tail is shuffled for its place."""
+    return plan.rindex("Window") > plan.index("Union") > 0 and "Window" not in plan[: plan.index("Union")]
+
+
+def test_overlay_direct_keeps_tails_in_place(spark):
+    from tidewater.plans import retrieval_queries as q
+
+    assert heads_alone_are_ranked(plan_of(q.Q["overlay_direct"](spark, SMALL), True))
