@@ -563,3 +563,9 @@ def test_overlay_direct_keeps_tails_in_place(spark):
     from tidewater.plans import retrieval_queries as q
 
     assert heads_alone_are_ranked(plan_of(q.Q["overlay_direct"](spark, SMALL), True))
+
+
+def test_overlay_citation_only_keeps_tails_in_place(spark):
+    from tidewater.plans import retrieval_queries as q
+
+    assert heads_alone_are_ranked(plan_of(q.Q["overlay_citation_only"](spark, SMALL), True))
