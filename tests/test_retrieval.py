@@ -569,3 +569,31 @@ def test_overlay_citation_only_keeps_tails_in_place(spark):
     from tidewater.plans import retrieval_queries as q
 
     assert heads_alone_are_ranked(plan_of(q.Q["overlay_citation_only"](spark, SMALL), True))
+
+
+def test_full_texts_travel_only_from_the_latest_rows(spark, monkeypatch):
+    """Beyond the bound of broadcasts for their documents, the places of latest rows still travel as bits: a text is spread once, and joins no shuffled texts."""
+    from tidewater import session
+    from tidewater.sources import testdata as td
+
+    docs = td.corpus(spark, SMALL).count()
+    monkeypatch.setattr(session.bounded, "__defaults__", (None, docs // 4))
+    got = td.corpus(spark, SMALL, ("title", "abstract"))
+    plan = plan_of(got)
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert got.count() == docs == got.select("doc_id").distinct().count()
+
+
+def test_texts_are_those_of_the_latest_rows(spark, tmp_path):
+    """Rows of several blocks of 64, the first and last bit of each among them, against a ranking of whole rows."""
+    from pyspark.sql import Window
+    from tidewater.sources import testdata as td
+
+    data = [(f" D{i % 67}" if i % 3 else f"D{i % 67} ", f"snapshot-{1 + i * 7 % 5}", i * 31 % 400, f"t{i}") for i in range(400)] + [(" ", "snapshot-9", 1, "no"), (None, "snapshot-9", 1, "no")]
+    df = spark.createDataFrame(data, "doc_id string, snapshot_id string, n long, title string").selectExpr(
+        "doc_id", "snapshot_id", "title", "'x' as abstract", "'y' as full_text", "concat('2025-01-', lpad(1 + n % 28, 2, '0')) as published_date", "'2024' as created_date", "'2025-02-01' as updated_date", "timestamp_seconds(n) as delivered_at"
+    )
+    df.coalesce(1).write.parquet(f"{tmp_path}/document_snapshots.parquet")
+    w = Window.partitionBy(F.trim("doc_id")).orderBy(F.desc("snapshot_id"), F.desc("delivered_at"))
+    want = df.where("trim(doc_id) <> ''").withColumn("r", F.row_number().over(w)).where("r = 1").select(F.trim("doc_id"), "title", "published_date")
+    assert rows(td.corpus(spark, str(tmp_path), ("title",)).select("doc_id", "title", "published_date")) == rows(want)
